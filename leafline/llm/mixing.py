@@ -24,6 +24,8 @@ from leafline.llm.common import materialize, n_words_of, table
 
 MOST_COPIES, SEED, RANGES = 3, 7, 8192
 CYCLE = 3
+#: Up to so many sources their tables are broadcast.
+FEW_SOURCES = 20_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -61,7 +63,11 @@ def pareto_mix(df: DataFrame, size_col: str, source_col: str, id_col: str, boost
     sizes = df.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
     targets = source_targets(sizes).withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")).withColumnRenamed("source", "__s")
-    rows = df.join(targets.drop("weight"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+    targets = materialize(targets, "targets")
+    # tables with one row for each source are sent to all tasks if their number, counted here, allows
+    few = targets.count() <= FEW_SOURCES
+    sent = F.broadcast if few else (lambda x: x)
+    rows = df.join(sent(targets.drop("weight")), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     share = F.greatest(F.col("__rest") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-12))
     u = uniform(F.col(id_col), seed)
     rank = (u / (1 - u)) / (share / (1 - share) * (F.lit(1.0) if boost is None else boost))
@@ -73,7 +79,7 @@ def pareto_mix(df: DataFrame, size_col: str, source_col: str, id_col: str, boost
     stops = sums.withColumn("__up_to", up_to).where(F.col("__up_to") > F.col("__rest")).groupBy("__source").agg(
         F.min(F.struct(F.col("__range").alias("range"), (F.col("__up_to") - F.col("__words")).alias("before"))).alias("__stop")
     ).withColumnRenamed("__source", "__s")
-    rows = rows.join(stops, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    rows = rows.join(sent(stops), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
     inside = F.col("__range") == F.col("__stop.range")
     below = F.col("__stop").isNull() | (F.col("__range") < F.col("__stop.range"))
     low = rows.where(below).withColumn("__sampled", F.lit(True))
@@ -83,12 +89,12 @@ def pareto_mix(df: DataFrame, size_col: str, source_col: str, id_col: str, boost
     rows = low.unionByName(cut).unionByName(high)
     # the document that fills the gap best, if one comes nearer than none
     got = rows.groupBy("__source").agg((F.first("__rest") - F.coalesce(F.sum(F.when(F.col("__sampled"), F.col("__size"))), F.lit(0))).alias("__gap")).withColumnRenamed("__source", "__s")
-    rows = rows.join(got, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = rows.join(sent(got), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     off = F.abs(F.col("__size") - F.col("__gap"))
     fits = rows.where(~F.col("__sampled") & (off < F.col("__gap"))).groupBy("__source").agg(
         F.min(F.struct(off.alias("off"), F.col("__rank").alias("rank"), F.col(id_col).alias("id"))).alias("__fit")
     ).withColumnRenamed("__source", "__s")
-    rows = rows.join(fits, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    rows = rows.join(sent(fits), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
     filled = F.col("__fit").isNotNull() & F.col(id_col).eqNullSafe(F.col("__fit.id")) & (off == F.col("__fit.off")) & ~F.col("__sampled")
     rows = rows.withColumn("copies", (F.col("__whole") + (F.col("__sampled") | filled).cast("int")).cast("int"))
     rows = rows.withColumn("taken", (F.col("copies") * F.col("__size")).cast("long"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from leafline.llm import mixing, near_dedup, quality_rules, sharding, token_counts, token_files
+from leafline.llm import decontaminate, mixing, near_dedup, quality_rules, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_sharding": sharding.query,
+    "op4_decontaminate": decontaminate.query,
     "op6_token_counts": token_counts.query,
     "op7_mixing": mixing.query,
     "op9_near_dedup": near_dedup.query,
     "op10_token_files": token_files.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontaminate.SQL,
+}
