@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leafline.llm import decontaminate, mixing, near_dedup, quality_rules, sharding, token_counts, token_files
+from leafline.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_sharding": sharding.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op6_token_counts": token_counts.query,
     "op7_mixing": mixing.query,
     "op9_near_dedup": near_dedup.query,
