@@ -153,7 +153,7 @@ def facts(text: Column) -> list[Column]:
     return [F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 0)), 1, n).alias(name) for name, p, n in rules]
 
 
-ORDER_TEXT = F.expr("concat('Order ', o_orderkey, ' of ', date_format(o_orderdate, 'yyyy-MM-dd'), ' cost $', cast(o_totalprice as decimal(18,2)), ' with ', o_orderkey % 30, '% off, see https://shop.example/', o_orderkey, ' or a', o_orderkey, '@mail.example')")
+ORDER_TEXT = ("concat('Order ', o_orderkey, ' of ', date_format(o_orderdate, 'yyyy-MM-dd'), ' cost $', cast(o_totalprice as decimal(18,2)), ' with ', o_orderkey % 30, '% off, see https://shop.example/', o_orderkey, ' or a', o_orderkey, '@mail.example')")
 ORDER_SQL = "'Order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ' cost $' || CAST(o_totalprice AS DECIMAL(18,2)) || ' with ' || o_orderkey % 30 || '% off, see https://shop.example/' || o_orderkey || ' or a' || o_orderkey || '@mail.example'"
 
 
@@ -163,7 +163,7 @@ ORDER_SQL = "'Order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d
 )
 def facts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts in a text made of order rows; SQL takes them from the columns."""
-    df = load(spark, sf_dir, "orders").select("o_orderkey", ORDER_TEXT.alias("t")).select("o_orderkey", *facts(F.col("t")))
+    df = load(spark, sf_dir, "orders").select("o_orderkey", F.expr(ORDER_TEXT).alias("t")).select("o_orderkey", *facts(F.col("t")))
     return df.select("o_orderkey", F.get("dates", 0).alias("date"), F.get("amounts", 0).alias("amount"), F.get("percentages", 0).alias("percentage"), F.get("emails", 0).alias("email"), F.get("links", 0).alias("link"))
 
 
