@@ -181,6 +181,15 @@ class Transducer:
             self.keys[at], (self.next[at], self.emit[at]) = key, self.flat[key]
         return self.flat[key]
 
+    def room(self, more: int, state: np.ndarray) -> bool:
+        """Starts the table anew if `more` transitions would fill it too much; renumbers the states in use."""
+        if len(self.flat) + more <= SLOTS * 2 // 3:
+            return False
+        used = [self.states[s] for s in state.tolist()]
+        self.start_over()
+        state[:] = [self.id_of(s) for s in used]
+        return True
+
     def place(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or the free one where it would go."""
         at = ((keys * 0x9E3779B97F4A7C1) >> 20) & (SLOTS - 1)
@@ -205,14 +214,24 @@ class Transducer:
                 for k in live:
                     s, n, flat = int(state[k]), 0, self.flat
                     for c in symbols[begin[k] + t : end[k]].tolist():
-                        s, e = flat.get(key := s << 10 | c) or self.make(key)
+                        known = flat.get(s << 10 | c)
+                        if known is None:
+                            state[k] = s
+                            if self.room(1, state):
+                                s, flat = int(state[k]), self.flat
+                            known = self.make(s << 10 | c)
+                        s, e = known
                         n += e
                     state[k], total[k] = s, total[k] + n
                 return state, total
             keys = state[live] << 10 | symbols[begin[live] + t]
             at = self.place(keys)
             if len(missing := np.flatnonzero(self.keys[at] < 0)):
-                for key in np.unique(keys[missing]).tolist():
+                new = np.unique(keys[missing])
+                if self.room(len(new), state):
+                    keys = state[live] << 10 | symbols[begin[live] + t]
+                    new = np.unique(keys)
+                for key in new.tolist():
                     self.make(key)
                 at = self.place(keys)
             state[live] = self.next[at]
