@@ -4,7 +4,7 @@ Every DOM node gets the characters per tag of its text, adjusted by its links ag
 whole body; the node with the largest sum of its children's densities is the heart of the page.
 The smallest density on its path to the body is the threshold: along that path, neighbours that are
 at least as dense belong to the text as well. Where the heart lies in an article or main element,
-that element is taken whole. What can't be text of an article by its element, role or class (menus,
+that element is taken whole; a page that marks such elements has its heart in one. What can't be text of an article by its element, role or class (menus,
 page headers, footers, sidebars, notices, adverts, forms, reader comments) is taken out beforehand.
 
 Defined results: null and empty pages give an empty text. Unclosed and stray tags are repaired as
@@ -160,10 +160,16 @@ def main_nodes(root: Node) -> list[Node]:
         base = math.log(n.c / max(n.c - n.lc, 1) * n.lc + ratio * n.c + math.e)
         n.density = n.c / tags * math.log(math.e * max(n.c / max(n.lc, 1) * tags / links, 1.0)) / math.log(base + math.e - 1)
     best = None
+    # where a page marks its articles, the heart is in one of them
+    marked = {id(n) for n in order if n.c and n.tag in ("article", "main")}
+    if marked:
+        for n in reversed(order):  # parents first
+            if n.parent is not None and id(n.parent) in marked:
+                marked.add(id(n))
     for n in order:
         kids = [x for x in n.children if isinstance(x, Node) and not x.drop and x.c]
         n.sum = sum(x.density for x in kids) or n.density
-        if n.c and (best is None or n.sum >= best.sum):
+        if n.c and (not marked or id(n) in marked) and (best is None or n.sum >= best.sum):
             best = n
     if best is None:
         return []
