@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,15 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE_RUN))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row.
+
+    A filter on a derived column is pushed below the projections, which puts the definitions of all
+    columns into it in full; inside a function of array elements they would be computed for each element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def n_words_of(text: Column) -> Column:
     """How many words a text has, without keeping them."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import WHITE, table, words_of
+from leafline.llm.common import WHITE, let, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Marks that prose hardly has. A line fails with more than one per MARKS_PER_WORD words.
@@ -61,47 +61,82 @@ def line_fails(parts: Column) -> Column:
     return punctuation | navigation | stutter | boilerplate
 
 
-def with_lines(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds __lines (line, words, low), kept between the steps below."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    return df.withColumn("__lines", F.transform(lines, lambda x: F.struct(x.alias("line"), words_of(x).alias("words"), F.lower(x).alias("low"))))
+def parts_of(text: Column) -> Column:
+    """The lines of a text: line, words and low (its lower case)."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), words_of(x).alias("words"), F.lower(x).alias("low")))
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words lie in 5-word windows that come twice or more."""
+
+    def windows(h: Column) -> Column:
+        made = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 4, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4)))
+        return F.when(F.size(h) >= 5, made).otherwise(F.array().cast("array<long>"))
+
+    def places(s: Column) -> Column:
+        again = lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["p"])
+        return F.sort_array(F.filter(F.transform(s, again), lambda p: p.isNotNull()))
+
+    def covered(a: Column) -> Column:
+        gaps = F.transform(a, lambda p, i: F.least(F.lit(5), F.coalesce(F.get(a, i + 1) - p, F.lit(5))).cast("long"))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda t, x: t + x)
+
+    # only texts in which some window comes again are sorted
+    count = lambda g: F.when(
+        F.size(F.array_distinct(g)) < F.size(g), let(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), lambda s: let(places(s), covered))
+    ).otherwise(F.lit(0).cast("long"))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count))
+
+
+def base_of(text: Column, parts: Column) -> Column:
+    full = F.filter(parts, lambda x: F.size(x["words"]) > 0)["line"]
+
+    def counts(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
+            count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
+            let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+        )
+
+    return let(F.flatten(parts["words"]), counts)
+
+
+def cleaned_of(text: Column, parts: Column) -> Column:
+    judged = F.transform(parts, lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("n"), ((F.size(x["words"]) > 0) & line_fails(x)).alias("bad")))
+    total = lambda j, n: F.aggregate(j, F.lit(0).cast("long"), lambda t, x: t + n(x))
+    return let(
+        judged,
+        lambda j: F.struct(
+            F.when(text.isNotNull(), F.array_join(F.filter(j, lambda x: ~x["bad"])["line"], "\n")).alias("clean_text"),
+            F.size(F.filter(j, lambda x: x["n"] > 0)).cast("long").alias("n_lines"),
+            F.size(F.filter(j, lambda x: x["bad"])).cast("long").alias("n_lines_removed"),
+            total(j, lambda x: F.when(x["bad"], x["n"]).otherwise(0)).alias("words_removed"),
+            total(j, lambda x: x["n"]).alias("total"),
+        ),
+    )
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+CLEANED = ("clean_text", "n_lines", "n_lines_removed", "words_removed")
+
+
+def with_base(df: DataFrame) -> DataFrame:
+    df = df.withColumns({c: F.col(f"__q.base.{c}") for c in BASE})
+    return df.withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
+
+
+def with_cleaned(df: DataFrame, most_lost: float) -> DataFrame:
+    kept = (F.col("__q.cleaned.total") > 0) & (F.col("__q.cleaned.words_removed") <= most_lost * F.col("__q.cleaned.total"))
+    return df.withColumns({c: F.col(f"__q.cleaned.{c}") for c in CLEANED} | {"kept_lines": kept})
 
 
 def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and base_failed."""
-    had = "__lines" in df.columns
-    df = df if had else with_lines(df, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumns({"__words": F.flatten("__lines.words"), "__full": F.filter("__lines", lambda x: F.size(x["words"]) > 0)["line"]})
-    df = df.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("n_words", F.size("__words").cast("long")).drop("__words")
-    h = F.col("__hashes")
-    five = F.when(
-        F.col("n_words") >= 5,
-        F.transform(F.slice(h, 1, F.greatest(F.size(h) - 4, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4))),
-    ).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("__five", five)
-    g = F.col("__five")
-    # only texts in which some window comes again are sorted
-    df = df.withColumn("__sorted", F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    s = F.col("__sorted")
-    again = F.filter(
-        F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["p"])),
-        lambda p: p.isNotNull(),
-    )
-    df = df.withColumn("__again", F.sort_array(again))
-    a = F.col("__again")
-    covered = F.aggregate(F.transform(a, lambda p, i: F.least(F.lit(5), F.coalesce(F.get(a, i + 1) - p, F.lit(5))).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    df = df.withColumns(
-        {
-            "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-            "n_symbols": count_of(text, SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        }
-    )
-    failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("__hashes", "__five", "__sorted", "__again", "__full", *([] if had else ["__lines"]))
+    return with_base(df.withColumn("__q", let(parts_of(text), lambda p: F.struct(base_of(text, p).alias("base"))))).drop("__q")
 
 
 def clean_lines(df: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
@@ -109,29 +144,17 @@ def clean_lines(df: DataFrame, text_col: str = "text", most_lost: float = MOST_L
 
     kept_lines is the method's verdict: the removed lines hold at most most_lost of the words.
     """
-    had = "__lines" in df.columns
-    df = df if had else with_lines(df, text_col)
-    judged = F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("n"), ((F.size(x["words"]) > 0) & line_fails(x)).alias("bad")))
-    df = df.withColumn("__judged", judged)
-    j = F.col("__judged")
-    total = F.coalesce(F.aggregate(j, F.lit(0).cast("long"), lambda t, x: t + x["n"]), F.lit(0))
-    lost = F.coalesce(F.aggregate(j, F.lit(0).cast("long"), lambda t, x: t + F.when(x["bad"], x["n"]).otherwise(0)), F.lit(0))
-    df = df.withColumns(
-        {
-            "clean_text": F.when(F.col(text_col).isNotNull(), F.array_join(F.filter(j, lambda x: ~x["bad"])["line"], "\n")),
-            "n_lines": F.coalesce(F.size(F.filter(j, lambda x: x["n"] > 0)), F.lit(0)).cast("long"),
-            "n_lines_removed": F.coalesce(F.size(F.filter(j, lambda x: x["bad"])), F.lit(0)).cast("long"),
-            "words_removed": lost.cast("long"),
-            "__total": total.cast("long"),
-        }
-    )
-    return df.withColumn("kept_lines", (F.col("__total") > 0) & (F.col("words_removed") <= most_lost * F.col("__total"))).drop("__judged", "__total", *([] if had else ["__lines"]))
+    text = F.col(text_col)
+    return with_cleaned(df.withColumn("__q", let(parts_of(text), lambda p: F.struct(cleaned_of(text, p).alias("cleaned")))), most_lost).drop("__q")
 
 
 def quality_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Both of the above, and kept: neither the base rules nor the line rules reject the document."""
-    out = clean_lines(base_counts(with_lines(df, text_col), text_col), text_col)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("kept_lines")).drop("__lines")
+    text = F.col(text_col)
+    whole = F.coalesce(text, F.lit(""))
+    both = let(parts_of(text), lambda p: F.struct(base_of(whole, p).alias("base"), cleaned_of(text, p).alias("cleaned")))
+    out = with_cleaned(with_base(df.withColumn("__q", both)), MOST_LOST)
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("kept_lines")).drop("__q")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

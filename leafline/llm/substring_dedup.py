@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import LOWER, UPPER, WHITE, WHITE_RUN, materialize, table
+from leafline.llm.common import LOWER, UPPER, WHITE, WHITE_RUN, let, materialize, table
 
 RUN, FEWEST, LONG = 3, 8, 50
 
@@ -62,14 +62,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces = F.split(F.regexp_replace(text_col, "(\n|[.!?] )", "$1\u0001"), "\u0001")
     out = out.withColumn("__pieces", pieces).withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
     p, places = F.col("__pieces"), F.col("places")
-    lost = F.transform(places, lambda i: F.get(p, i))
     n_words = lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", F.lit(0)).otherwise(F.size(F.split(F.btrim(x, F.lit(WHITE)), WHITE_RUN)))
     return out.withColumns(
         {
-            "clean_text": F.when(F.size(places) == 0, F.translate(text_col, "\u0001", "")).otherwise(F.array_join(F.filter(p, lambda x, i: ~F.array_contains(places, i)), "")),
+            "clean_text": F.when(F.size(places) == 0, F.translate(text_col, "\u0001", "")).otherwise(let(places, lambda gone: F.array_join(F.filter(p, lambda x, i: ~F.array_contains(gone, i)), ""))),
             "n_sentences": F.coalesce(F.size(p), F.lit(0)).cast("long"),
             "n_removed": F.size(places).cast("long"),
-            "words_removed": F.aggregate(lost, F.lit(0), lambda t, x: t + n_words(x)).cast("long"),
+            "words_removed": let(p, lambda all_: F.aggregate(F.transform(places, lambda i: n_words(F.get(all_, i))), F.lit(0), lambda t, x: t + x)).cast("long"),
         }
     ).drop("__pieces", "places")
 
