@@ -105,3 +105,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words_of(F.col("text")).alias("size"))
     out = pareto_mix(materialize(docs, "sizes"), "size", "source", "doc_id")
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same rows with windows over whole sources.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {CYCLE} + 1 AS weight, CAST({MOST_COPIES} * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT arg_min(level, cap / weight) AS found FROM l WHERE level <= cap / weight),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, coalesce(least(cap, found * weight), 0.0) AS target FROM l, f),
+t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+r AS (SELECT d.*, t2.* EXCLUDE (source), target - whole * source_size AS rest, greatest((target - whole * source_size) / greatest(source_size, 1), 1e-12) AS share,
+  (CAST('0x' || md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12] AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source),
+k AS (SELECT *, (CAST(u AS DOUBLE) / (1 - CAST(u AS DOUBLE))) / (share / (1 - share) * CAST(1.0 AS DOUBLE)) AS rank FROM r),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS sampled FROM k),
+g AS (SELECT *, rest - coalesce(sum(CASE WHEN sampled THEN size END) OVER (PARTITION BY source), 0) AS gap FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT sampled AND abs(size - gap) < gap THEN abs(size - gap) END NULLS LAST, rank, doc_id) = 1 AND NOT sampled AND abs(size - gap) < gap AS filled FROM g)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (whole + CASE WHEN sampled OR filled THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+"""

@@ -6,12 +6,14 @@ are candidates. The values are also folded into an odd sketch, a bitmap of parit
 count of two sketches' XOR estimates the similarity and drops all but the likely pairs, which are
 confirmed on the full sets.
 
-Buckets of a few classes give their pairs. A large bucket doesn't: its members are compared with two
-pivots (the member that is in most large buckets, which in a family of copies is the one nearest to
-all, and its smallest), and when those links are joined, only members that are still outside their
-bucket's largest component are compared with the members of other components. No pair of a bucket is
-left out but those whose ends are connected already. Components come from label propagation with
-pointer jumping on written tables; nothing but counts reaches the driver.
+Buckets of a few classes give their pairs. A large bucket doesn't: its members are compared with its
+pivot, the member that is in most large buckets, which in a family of copies is the one nearest to
+all. Buckets of one pivot make a cluster; when those links are joined, only members
+that are still outside their cluster's largest component meet the members of other components, in
+blocks of bounded size, which count common shingles by an inverted index and give a link for each two
+components at most. No pair of a bucket is left out but those whose ends are connected already, and no
+task holds a group. Components come from label propagation with pointer jumping on written tables;
+nothing but counts reaches the driver.
 
 Chance: a pair at 0.8 misses all BANDS bands of ROWS values with probability 5e-6, less above.
 
@@ -37,11 +39,15 @@ from leafline.llm.shingles import mix, shingle_sets, slices
 
 BANDS, ROWS, SEED = 40, 6, 11
 SKETCH_BITS = 512
-#: Sketches that differ in more bits belong to a pair at 0.8 with a probability of about 1e-7.
-MOST_BITS = 142
+#: Sketches that differ in more bits belong to a pair at 0.8 with a probability of about 1e-5.
+MOST_BITS = 128
 #: Buckets of more classes go by pivots.
 SMALL_BUCKET = 8
 SIMILARITY, WORDS = 0.8, 5
+#: Shingles in a block of members outside the largest component, and of members they meet.
+OUTER_ITEMS, INNER_ITEMS = 400_000, 1_000_000
+#: Ids up to this number (16 bytes each) are broadcast to fetch texts; more go by a shuffle.
+FEW_IDS = 2_000_000
 
 
 class Hasher:
@@ -124,17 +130,73 @@ def side(df: DataFrame, name: str) -> DataFrame:
     return df.select(*(F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in df.columns))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def sets_of(ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """ids: id, distinct and written. Gives id and items as a written table."""
+    few = ids.count() <= FEW_IDS
+    return materialize(full_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), words), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets are similar, as a written table."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(full_sets(texts.join(ids, "id", "left_semi"), words), "sets")
     both = pairs.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
     percent = round(100 * similarity)
-    out = materialize(both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b"), "links")
-    forget(sets)
-    forget(pairs)
+    return materialize(both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b"), "links")
+
+
+def links_in_block(block: pa.Table, percent: int) -> pa.Table:
+    """Similar pairs of an outer and an inner member of different components, one for each two components that they join."""
+    outer = np.array(block["outer"])
+    ids, labels = np.array(block["id"]), block["label"].to_pylist()
+    items = [np.asarray(x.values) for x in block["items"]]
+    inner = np.flatnonzero(~outer)
+    sizes = np.array([len(x) for x in items])
+    flat = np.concatenate([items[i] for i in inner]) if len(inner) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(inner)), sizes[inner])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i in np.flatnonzero(outer).tolist():
+        low, high = np.searchsorted(flat, items[i], "left"), np.searchsorted(flat, items[i], "right")
+        counts = high - low
+        ends = np.cumsum(counts)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - counts), counts)
+        common = np.bincount(owner[places], minlength=len(inner))
+        for k in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes[inner] - common)).tolist():
+            j = int(inner[k])
+            a, b = root(labels[i]), root(labels[j])
+            if a != b:
+                parent[a] = b
+                found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def links_outside(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members: cluster, id (distinct). Links between components of a cluster, but those that are known, as a written table."""
+    tagged = materialize(members.join(labels, "id", "left").select("cluster", "id", F.coalesce("label", "id").alias("label")), "clusters")
+    sizes = tagged.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("cluster").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("cluster", "main")
+    rows = tagged.join(mixed, "cluster").join(sets, "id").withColumn("outer", F.col("label") != F.col("main"))
+    weight = rows.groupBy("cluster").agg(
+        F.ceil(F.sum(F.when(F.col("outer"), F.size("items"))) / OUTER_ITEMS).cast("int").alias("outers"), F.ceil(F.sum(F.size("items")) / INNER_ITEMS).cast("int").alias("inners")
+    )
+    rows = rows.join(weight, "cluster")
+    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.where("outer").select("cluster", at("outers", 1).alias("i"), every("inners").alias("j"), "id", "label", "outer", "items")
+    inner = rows.select("cluster", every("outers").alias("i"), at("inners", 2).alias("j"), "id", "label", F.lit(False).alias("outer"), "items")
+    percent = round(100 * similarity)
+    blocks = outer.unionByName(inner).groupBy("cluster", "i", "j")
+    out = materialize(blocks.applyInArrow(lambda t: links_in_block(t, percent), "a long, b long"), "links")
+    forget(tagged)
     return out
 
 
@@ -167,37 +229,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = materialize(reps, "representatives")
     traits = reps.select("id", "n", "sketch")
     banded = reps.select("id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = materialize(buckets, "buckets")
 
-    two = buckets.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = materialize(banded.join(buckets.where("c > 2"), "band").select("band", "c", "id", "low"), "members")
-    small = members.where(F.col("c") <= SMALL_BUCKET).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    few = small.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+    members = materialize(banded.join(buckets, "band").select("band", "c", "id"), "banded")
     large = members.where(F.col("c") > SMALL_BUCKET)
     score = large.groupBy("id").agg(F.sum("c").alias("score"))
     pivots = large.join(score, "id").groupBy("band").agg(F.max(F.struct("score", "id"))["id"].alias("pivot"))
-    stars = large.join(pivots, "band").select("id", F.explode(F.array_distinct(F.array("pivot", "low"))).alias("pivot"))
-    stars = stars.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    clusters = materialize(large.join(pivots, "band").select(F.col("pivot").alias("cluster"), "id").distinct(), "members")
+    stars = clusters.where("id <> cluster").select(F.least("id", "cluster").alias("a"), F.greatest("id", "cluster").alias("b"))
+    # two that share a cluster meet there, so small buckets leave them out
+    own = clusters.groupBy("id").agg(F.collect_set("cluster").alias("in"))
+    small = members.where(F.col("c") <= SMALL_BUCKET).join(own, "id", "left").select("band", F.struct("id", F.coalesce("in", F.array().cast("array<long>")).alias("in")).alias("x"))
+    small = small.groupBy("band").agg(F.collect_list("x").alias("all")).select(F.explode("all").alias("x"), "all")
+    others = F.transform(F.filter("all", lambda y: (y["id"] > F.col("x.id")) & ~F.arrays_overlap(y["in"], F.col("x.in"))), lambda y: y["id"])
+    few = small.select(F.col("x.id").alias("a"), F.explode(others).alias("b"))
 
     def sifted(pairs: DataFrame) -> DataFrame:
         both = pairs.where("a <> b").distinct().join(side(traits, "a"), "a").join(side(traits, "b"), "b")
         return both.where(likely(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"), similarity)).select("a", "b")
 
-    links = confirmed(sifted(two.union(few).union(stars)), texts, words, similarity)
+    pairs = materialize(sifted(few.union(stars)), "pairs")
+    ids = materialize(pairs.select("a").union(pairs.select("b")).union(clusters.select("id")).distinct().toDF("id"), "ids")
+    sets = sets_of(ids, texts, words)
+    links = confirmed(pairs, sets, similarity)
     labels = components(links)
-
-    # members of large buckets that are outside their bucket's largest component, against the other components
-    tagged = large.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    sizes = tagged.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main")
-    open_ = materialize(tagged.join(mixed, "band").join(traits, "id").select("band", "id", "label", "main", "n", "sketch"), "open")
-    outside = open_.where("label <> main").select("band", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    inside = open_.select(F.col("band"), F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("main").alias("main_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    once = (F.col("label_b") == F.col("main_b")) | (F.col("a") < F.col("b"))
-    meets = (outside["band"] == inside["band"]) & (F.col("label_a") != F.col("label_b")) & once & likely(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"), similarity)
-    rest = outside.join(inside, meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(rest, texts, words, similarity)
+    more = links_outside(clusters, labels, sets, similarity)
+    forget(sets)
     if not more.isEmpty():
         forget(labels)
         labels = components(links.union(more))
@@ -210,3 +268,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
+#: The same rows by counting the common shingles of all documents that share one.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(id, node) AS (SELECT DISTINCT x, x FROM e UNION SELECT reach.id, e.y FROM reach JOIN e ON e.x = reach.node),
+m AS (SELECT id, min(node) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.id = w.doc_id
+"""

@@ -160,3 +160,37 @@ def quality_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_removed", "words_removed")
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def sql() -> str:
+    """The same rows in DuckDB, by lists of lines and words."""
+    words = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+    fewer = lambda x, chars: f"(length({x}) - length(translate({x}, {sql_text(chars)}, '')))"
+    phrases = " OR ".join(f"contains(low, {sql_text(p)})" for p in BOILERPLATE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
+five AS (SELECT doc_id, i, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM five) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
+lines AS (SELECT doc_id, line, lower(line) AS low, {words.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+full_lines AS (SELECT *, len(w) AS n, {fewer("line", "".join(SEPARATORS))} + 1 AS items FROM lines WHERE len(w) > 0),
+judged AS (SELECT doc_id, n, {fewer("line", MARKS)} > {MARKS_PER_WORD} * n OR (length(line) - length(replace(line, '!!', ''))) / 2.0 > {SHOUTS} * n
+  OR (n >= {CAPITALS_WORDS} AND low <> line AND upper(line) = line) OR (items >= {NAV_ITEMS} AND n <= {NAV_ITEM_WORDS + 1} * items)
+  OR (n >= {STUTTER_WORDS} AND len(list_distinct(w)) <= {1 - STUTTER} * n AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= {STUTTER} * n) OR {phrases} AS bad FROM full_lines),
+sums AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_lines_removed, coalesce(sum(n) FILTER (bad), 0) AS words_removed, sum(n) AS total FROM judged GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY 1),
+b AS (SELECT d.doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, {fewer("d.text", SYMBOLS)} AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(words_removed, 0) AS words_removed, coalesce(total, 0) AS total
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN sums USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND total > 0 AND words_removed <= {MOST_LOST} * total AS kept,
+  n_lines, n_lines_removed, CAST(words_removed AS BIGINT) AS words_removed FROM b
+"""
+
+
+SQL = sql()

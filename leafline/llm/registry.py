@@ -17,6 +17,9 @@ QUERIES = {
     "op10_token_files": token_files.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op7_mixing": mixing.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }

@@ -69,17 +69,17 @@ def shingle_sets(texts: list[bytes], size: int = 2) -> list[np.ndarray]:
         if n >= size:
             out.append(np.unique(joined[at : at + n - size + 1]))
         elif n:
-            whole = hashes[at]
+            whole = hashes[at : at + 1]
             for k in range(1, n):
-                whole = mix(whole * np.uint64(0xD6E8FEB86659FD93) + hashes[at + k])
-            out.append(mix(np.array([whole + np.uint64(n)])))
+                whole = mix(whole * np.uint64(0xD6E8FEB86659FD93) + hashes[at + k : at + k + 1])
+            out.append(mix(whole + np.uint64(n)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
     return out
 
 
-def slices(texts: list[bytes], at_once: int = AT_ONCE):
+def slices(texts: list, at_once: int = AT_ONCE):
     """Ranges of texts of about at_once bytes; a longer text is a range of its own."""
     at = 0
     while at < len(texts):
