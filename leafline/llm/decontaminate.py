@@ -155,6 +155,7 @@ def text_hash(word: bytes) -> int:
 def prints_of(df: DataFrame, lengths: list[int], every: bool) -> DataFrame:
     """df: key, text. Gives key, k, at and print: fingerprints by hashes of words that need no common numbering.
 
+    k: K for fingerprints of long items, -n for whole short items of n words, so that items of K words stay apart.
     lengths: of short items. every: of short ones the grams at every place (documents), else of items of that length only.
     """
 
@@ -168,12 +169,12 @@ def prints_of(df: DataFrame, lengths: list[int], every: bool) -> DataFrame:
                 if len(known) > 500_000:
                     known.clear()
                 codes = np.fromiter((known[w] if w in known else known.setdefault(w, text_hash(w)) for w in found), np.uint64, len(found))
-                for k in [K, *lengths]:
-                    if len(codes) < k or (not every and (k == K) != (len(codes) >= SPAN)) or (not every and k != K and len(codes) != k):
+                for k, whole in [(K, False), *((n, True) for n in lengths)]:
+                    if len(codes) < k or (not every and (len(codes) != k if whole else len(codes) < SPAN)):
                         continue
                     hashes = grams(codes, k)
-                    at = winnow(hashes) if k == K else np.arange(len(hashes))
-                    out.append((k, at, hashes[at]))
+                    at = np.arange(len(hashes)) if whole else winnow(hashes)
+                    out.append((-k if whole else k, at, hashes[at]))
                     keys += [key] * len(at)
             if out:
                 k = np.concatenate([np.full(len(a), k) for k, a, _ in out])

@@ -90,6 +90,18 @@ def test_large_benchmarks_go_by_a_join(spark, sf_dir, odd_docs):
     assert hit[5]["items"] == ["905", "906", "907"] and hit[3]["items"] == ["902"] and hit[0]["n_words"] == 0
 
 
+def test_short_items_of_every_length_go_by_a_join(spark, odd_docs):
+    words = odd_docs.where("doc_id = 5").first()["text"].replace(".", "").replace(",", "").split()
+    rows = [(n, " ".join(words[1 : 1 + n])) for n in range(1, len(words))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
+    whole = decontaminate.decontaminate(odd_docs, bench, most_index_bytes=0).select(*names)
+    assert spark_rows(whole) == spark_rows(decontaminate.decontaminate(odd_docs, bench).select(*names))
+    assert whole.where("doc_id = 5").first()["items"] == sorted(str(n) for n, _ in rows)
+    five = decontaminate.decontaminate(odd_docs, bench.where(f"item_id = {decontaminate.K}"), most_index_bytes=0)
+    assert five.where("doc_id = 5").first()["n_hit"] == decontaminate.K
+
+
 def test_contamination_on_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "hello world this is a fine text with more than ten words in it")], "item_id long, text string")
     out = {r["doc_id"]: r for r in decontaminate.decontaminate(odd_docs, bench).collect()}
