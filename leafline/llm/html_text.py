@@ -3,8 +3,10 @@
 Every DOM node gets the characters per tag of its text, adjusted by its links against those of the
 whole body; the node with the largest sum of its children's densities is the heart of the page.
 The smallest density on its path to the body is the threshold: along that path, neighbours that are
-at least as dense belong to the text as well. Where the heart lies in an article or main element,
-that element is taken whole; a page that marks such elements has its heart in one. What can't be text of an article by its element, role or class (menus,
+at least as dense belong to the text as well. Article and main elements widen that choice: a heart inside
+one takes the outermost such element whole, with all others on the page that reach the threshold; a heart
+that holds some gives those of them, and of the elements with several blocks beside them, that reach it
+(the densest marked one if none does). What can't be text of an article by its element, role or class (menus,
 page headers, footers, sidebars, notices, adverts, forms, reader comments) is taken out beforehand.
 
 Defined results: null and empty pages give an empty text. Unclosed and stray tags are repaired as
@@ -44,6 +46,7 @@ NOT_NAMES = frozenset(
     "subscribe subscription signup popup modal overlay nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar sidebars widget widgets related recommended "
     "recommendations share sharing social comment comments commentlist disqus reply replies respond discussion pagination pager toolbar login search skip".split()
 )
+MARKED = frozenset(("article", "main"))
 HEADERS = frozenset("header masthead topbar".split())
 NEGATED = re.compile(r"\b(?:no|without|has|with)[-_]\w+")
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -147,6 +150,32 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def texts_in(node: Node) -> list[Node]:
+    return [x for x in node.children if isinstance(x, Node) and not x.drop and x.c]
+
+
+def parts_of(top: Node) -> list[Node]:
+    """The outermost marked elements below top and, beside them, what holds several blocks of text; in page order."""
+    holders, stack = set(), [top]
+    while stack:
+        n = stack.pop()
+        if n.tag in MARKED:
+            while n is not None and id(n) not in holders:
+                holders.add(id(n))
+                n = n.parent
+        else:
+            stack += texts_in(n)
+    out, stack = [], [top]
+    while stack:
+        n = stack.pop()
+        if n.tag in MARKED or (n is not top and id(n) not in holders):
+            if n.tag in MARKED or sum(x.tag in BLOCKS for x in texts_in(n)) > 1:
+                out.append(n)
+        else:
+            stack += reversed(texts_in(n))
+    return out
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees whose text is the page's, in page order."""
     order = measure(root)
@@ -160,31 +189,27 @@ def main_nodes(root: Node) -> list[Node]:
         base = math.log(n.c / max(n.c - n.lc, 1) * n.lc + ratio * n.c + math.e)
         n.density = n.c / tags * math.log(math.e * max(n.c / max(n.lc, 1) * tags / links, 1.0)) / math.log(base + math.e - 1)
     best = None
-    # where a page marks its articles, the heart is in one of them
-    marked = {id(n) for n in order if n.c and n.tag in ("article", "main")}
-    if marked:
-        for n in reversed(order):  # parents first
-            if n.parent is not None and id(n.parent) in marked:
-                marked.add(id(n))
     for n in order:
-        kids = [x for x in n.children if isinstance(x, Node) and not x.drop and x.c]
-        n.sum = sum(x.density for x in kids) or n.density
-        if n.c and (not marked or id(n) in marked) and (best is None or n.sum >= best.sum):
+        n.sum = sum(x.density for x in texts_in(n)) or n.density
+        if n.c and (best is None or n.sum >= best.sum):
             best = n
     if best is None:
         return []
-    top = best
-    node = best
+    top = node = best
     while node is not None:
-        if node.tag in ("article", "main"):
+        if node.tag in MARKED:
             top = node
         node = node.parent
-    if top.tag in ("article", "main"):
-        return [top]
     threshold, node = top.density, top
     while node is not None and node.tag != "html":
         threshold = min(threshold, node.density)
         node = node.parent
+    # a marked heart brings all that are marked like it; a heart that holds marked elements is made of them and of what is built like them
+    parts = parts_of(root if top.tag in MARKED else top)
+    marked = [n for n in parts if n.tag in MARKED]
+    if marked:
+        own = marked if top.tag in MARKED else parts
+        return [n for n in own if n is top or n.density >= threshold] or [max(marked, key=lambda n: n.sum)]
     keep, node = {id(top)}, top
     while node.parent is not None and node.tag != "body":
         keep |= {id(x) for x in node.parent.children if isinstance(x, Node) and not x.drop and x.c and x.density >= threshold}

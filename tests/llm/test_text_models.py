@@ -60,6 +60,17 @@ def test_article_text():
     assert html_text.main_text("<article><header><h1>In</h1></header><p>Text</p><div class='ad'>Buy</div></article><p>Other long text around it, but not of the article at all.</p>") == "In\nText"
 
 
+def test_densities_choose_among_marked_elements():
+    long = [f"Paragraph {i} tells at length what the page is about, with a number of words that no card has." for i in range(6)]
+    two = [f"<article><p>{a}</p><p>{b}</p></article>" for a, b in zip(long[::2], long[1::2], strict=True)]
+    assert html_text.main_text(f"<body>{''.join(two)}</body>") == "\n".join(long)
+    assert html_text.main_text(f"<body><ul><li>{'</li><li>'.join(two)}</li></ul></body>") == "\n".join(long)
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Short.</p></article>" for i in range(3))
+    story = "".join(f"<p>{x}</p>" for x in long)
+    assert html_text.main_text(f"<body><div>{story}</div><div>{cards}</div></body>") == "\n".join(long)
+    assert html_text.main_text(f"<body><div>{cards}</div><article>{story}</article></body>") == "\n".join(long)
+
+
 def test_broken_pages():
     assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<nav><a>x</a></nav>") == ""
     assert html_text.main_text("just words") == "just words"
