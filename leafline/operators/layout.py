@@ -132,7 +132,7 @@ def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT b.item_id, min(d.doc_id) AS first_doc, count(*) AS docs FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1""",
 )
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a query word for word: candidates by its rarest words first, then the exact test."""
+    """Documents that hold a query word for word: candidates by its rarest inner words first, then the exact test."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     items_ = load(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("q"))
@@ -143,6 +143,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = post.join(F.broadcast(inner.select("w").distinct()) if inner.count() < 100_000 else inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rarest = inner.join(df, "w").groupBy("item_id").agg(F.min(F.struct("df", "w"))["w"].alias("w"))
     met = post.join(rarest, "w").join(items_, "item_id").join(docs, "doc_id").where(F.contains(F.lower("text"), F.col("q")))
+    # a query without inner words has none to look up: it is tested against every text
+    others = items_.join(inner.select("item_id").distinct(), "item_id", "left_anti")
+    met = met.select("item_id", "doc_id").unionByName(docs.join(others, F.contains(F.lower("text"), F.col("q"))).select("item_id", "doc_id"))
     return met.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
 
 
