@@ -24,14 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without doc_id stay, whole repeated rows become one."""
-    others = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    docs_left = docs.join(others, "doc_id", "left_anti")
+    """One row of each group of near-duplicates; rows without doc_id stay, whole repeated rows become one."""
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "repeated")
+    rows, row = docs, "doc_id"
     if not repeated.isEmpty():
-        again = docs_left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        docs_left = docs_left.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return docs_left.select(*docs.columns)
+        # a doc_id of several rows doesn't tell them apart: number the rows in order of doc_id
+        again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates()
+        rows = docs.join(repeated, "doc_id", "left_anti").unionByName(again)
+        rows = materialize(rows.orderBy("doc_id", *(c for c in docs.columns if c != "doc_id")).withColumn("__row", F.monotonically_increasing_id()), "rows")
+        rows, row = rows.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.col("__row"))), "__row"
+    others = near_duplicates(rows, id_col=row).where("not kept").select(row).distinct()
+    return rows.join(others, row, "left_anti").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_run_and_odd_rows(spark, sf_dir, odd_docs):
         assert out.count() <= 3 * docs.count()
     single = corpus_pipeline.dedup(spark, docs, sf_dir)
     assert single.where("doc_id = 5").count() == 1 and single.where("doc_id = 6").count() == 0 and single.where("doc_id is null").count() == 1
+
+
+def test_rows_of_one_doc_id_are_judged_apart(spark, sf_dir):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(7, a, "s"), (7, b, "s"), (7, a, "s"), (3, b, "s"), (8, c, "s"), (8, d, "s"), (9, d, "s"), (None, a, "s"), (4, "", "s"), (4, "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.dedup(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(7, a, "s"), (3, b, "s"), (8, c, "s"), (8, d, "s"), (None, a, "s"), (4, "", "s"), (4, "", "t")], key=str)
