@@ -1,14 +1,15 @@
-"""What the corpus operators share: tables, scratch tables, words and names."""
+"""What the corpus operators share: tables, scratch tables, joins with hot keys, words and names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.plans.columns import let
+from leafline.plans.scratch import forget, materialize
+
+__all__ = ["LOWER", "UPPER", "WHITE", "WHITE_RUN", "forget", "join_split", "let", "materialize", "n_bytes_of", "n_words_of", "table", "words_of"]
+
 #: White space between words: tab, line feed, vertical tab, form feed, carriage return, blank.
 WHITE = "\t\n\x0b\x0c\r "
 WHITE_RUN = "[\\x09-\\x0D\\x20]+"
@@ -19,33 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='leafline-')}"
-        shared_dir.own = path
-    return path.rstrip("/")
+#: Rows of a side that is broadcast, at most; and parts that a key falls into where it isn't.
+FEW_ROWS, SALTS = 1_000_000, 8
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage once, survives lost executors.
+def join_split(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, few: int = FEW_ROWS) -> DataFrame:
+    """big joined to small, a written table with one row for each key, so that no key of big lands in one task.
 
-    The path is kept on the returned frame as `written_at` for `forget`.
+    small goes to all tasks if its rows, counted here, are few; else both sides are dealt by key and by the salt
+    that the hash of spread gives.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that `materialize` wrote, once no later step reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if small.count() <= few:
+        return big.join(F.broadcast(small), keys)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 def words_of(text: Column) -> Column:
@@ -54,15 +42,6 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE_RUN))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once a row.
-
-    A filter on a derived column is pushed below the projections, which puts the definitions of all
-    columns into it in full; inside a function of array elements they would be computed for each element.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def n_words_of(text: Column) -> Column:
     """How many words a text has, without keeping them."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
@@ -71,8 +50,3 @@ def n_words_of(text: Column) -> Column:
 
 def n_bytes_of(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
-
-
-def spread(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df narrowed to columns, before Python sees it."""
-    return df.select(*columns)

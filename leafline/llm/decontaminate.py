@@ -8,11 +8,13 @@ word in both directions; spans of at least SPAN words (or a whole shorter item)
 Items shorter than SPAN words are whole grams of their own length, looked up at every place.
 
 The benchmark's index goes to every task if its measured size is at most MOST_INDEX_BYTES. A larger one stays
-a table: fingerprints of documents and items are joined as rows, and items are extended per hit.
+a table: fingerprints that documents and items share are joined as rows, each is extended to the SPAN words
+around it, and these windows, by hashes of 128 bits, are joined again. No text is paired with another.
 
 Defined results: null texts and items have no words. Words are runs of digits, letters and everything
 beyond ASCII, A to Z lowered. Items of equal text all count. Repeated rows of documents are judged
-one by one. Empty tables give no hits. Columns of the input are carried through by `decontaminate`, and those named as results replaced.
+one by one. A text of any length is one row, whose fingerprints are found in one pass. Empty tables give no hits.
+Columns of the input are carried through by `decontaminate`, whatever their names, and those named as results replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafline.llm.common import materialize, table
+from leafline.llm.common import forget, join_split, materialize, table
 from leafline.llm.shingles import MASK, mix
 
 SPAN, K = 13, 5
@@ -34,6 +36,8 @@ WINDOW = SPAN - K + 1
 #: A document is contaminated if this share of its words is hit: one in SHARE.
 SHARE = 20
 MOST_INDEX_BYTES = 64 << 20
+#: Turns the words of the first hash into those of the second.
+SECOND = 0xC2B2AE3D27D4EB4F
 #: Lowers A to Z and turns whatever parts words into a blank.
 LETTERS = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
@@ -186,6 +190,33 @@ def prints_of(df: DataFrame, lengths: list[int], every: bool) -> DataFrame:
     return df.mapInArrow(run, "key long, k int, at long, print long")
 
 
+def windows_of(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """df: key, text and prints (array of k, at; null: whatever the text has). Gives key, k, at, h1 and h2 of every window around a fingerprint.
+
+    k: words of the window. Around a fingerprint of a long item lie all windows of SPAN words that hold it; a whole short item is its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, prints in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("prints").to_pylist(), strict=True):
+                found = words_in(text)
+                codes = np.fromiter((text_hash(w) for w in found), np.uint64, len(found))
+                n = len(codes)
+                if prints is None:  # an item
+                    spots = {n: np.arange(1)} if 0 < n < SPAN else {SPAN: np.arange(n - SPAN + 1)} if n else {}
+                else:
+                    long = np.array(sorted({p["at"] for p in prints if p["k"] == K}), np.int64)
+                    around = np.unique((long[:, None] - np.arange(WINDOW)).ravel())
+                    spots = {SPAN: around[(around >= 0) & (around <= n - SPAN)]}
+                    spots |= {k: np.array(sorted({p["at"] for p in prints if p["k"] == -k}), np.int64) for k in lengths}
+                for k, at in spots.items():
+                    if len(at):
+                        h1, h2 = grams(codes, k)[at], grams(mix(codes ^ np.uint64(SECOND)), k)[at]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["key", "k", "at", "h1", "h2"])
+
+    return df.mapInArrow(run, "key long, k int, at long, h1 long, h2 long")
+
+
 def by_join(df: DataFrame, bench: DataFrame, keys: list[str]) -> DataFrame:
     """The same rows with the benchmark as a table of any size. df: the carried columns and __text; bench: name, text."""
     numbered = materialize(df.withColumn("__key", F.monotonically_increasing_id()), "documents")
@@ -193,33 +224,29 @@ def by_join(df: DataFrame, bench: DataFrame, keys: list[str]) -> DataFrame:
     n_words = lambda c: F.coalesce(F.regexp_count(c, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
     short = bench.select(n_words(F.col("text")).alias("n")).where(f"n > 0 and n < {SPAN}").distinct()
     lengths = sorted(r["n"] for r in short.collect())  # fewer than SPAN
-    docs = prints_of(numbered.select(F.col("__key").alias("key"), F.col("__text").alias("text")), lengths, True)
-    items = prints_of(bench.select("key", "text"), lengths, False).select(F.col("key").alias("item"), "k", "print")
-    pairs = docs.join(items, ["k", "print"]).select("key", "item").distinct()
     texts = numbered.select(F.col("__key").alias("key"), F.col("__text").alias("text"))
-    met = pairs.join(texts, "key").join(bench.select(F.col("key").alias("item"), "name", F.col("text").alias("item_text")), "item")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, name, item in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "name", "item_text")), strict=True):
-                _, hit, items = Index([(name, (item or "").encode())]).hits((text or "").encode())
-                if items:
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
-                    out += [(key, name, a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "name", "a", "b"])
-
-    found = materialize(met.select("key", "text", "name", "item_text").mapInArrow(spans, "key long, name string, a long, b long"), "spans")
-    # the words covered: spans in order of their starts, each counted from where those before it end
-    from pyspark.sql import Window
-
-    before = F.max("b").over(Window.partitionBy("key").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = found.select("key", "a", "b").distinct().withColumn("before", before)
-    covered = pieces.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("before", "a")))).alias("hit"))
-    named = found.groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"), F.count_distinct("name").alias("m"))
-    out = numbered.join(covered.join(named, "key").withColumnRenamed("key", "__key"), "__key", "left").withColumn("n_words", n_words(F.col("__text")))
-    hit = F.coalesce("hit", F.lit(0))
-    return out.select(*keys, "n_words", hit.alias("n_hit"), F.size(F.coalesce("names", F.array())).cast("long").alias("n_items"), F.coalesce("names", F.array().cast("array<string>")).alias("items"), ((hit > 0) & (SHARE * hit >= F.col("n_words"))).alias("contaminated"))
+    own = materialize(prints_of(texts, lengths, True), "prints")
+    asked = prints_of(bench.select("key", "text"), lengths, False).select("k", "print").distinct()
+    # each print once on either side, so that one of a third of all documents is a single row here
+    shared = materialize(own.select("k", "print").distinct().join(asked, ["k", "print"]), "shared")
+    met = join_split(own, shared, ["k", "print"], F.col("key")).groupBy("key").agg(F.collect_set(F.struct("k", "at")).alias("prints"))
+    windows = materialize(windows_of(met.join(texts, "key"), lengths), "windows")
+    none = F.lit(None).cast("array<struct<k:int,at:long>>").alias("prints")
+    held = windows_of(bench.select("key", "text", none), lengths).select("k", "h1", "h2", F.col("key").alias("item")).distinct()
+    place = ["k", "h1", "h2"]
+    held = materialize(held.join(windows.select(place).distinct(), place), "held")
+    hits = materialize(join_split(windows, materialize(held.select(place).distinct(), "hit-windows"), place, F.col("key")), "hits")
+    # the words covered: windows in order of their starts, each counted from where those before it end
+    end = F.col("at") + F.col("k")
+    before = F.max(end).over(Window.partitionBy("key").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = hits.select("key", "at", "k").distinct().withColumn("before", before)
+    covered = pieces.groupBy("key").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("at", F.coalesce("before", "at")))).alias("__hit"))
+    items = hits.select("key", *place).distinct().join(held, place).join(bench.select(F.col("key").alias("item"), "name"), "item")
+    named = items.select("key", "name").distinct().groupBy("key").agg(F.sort_array(F.collect_list("name")).alias("__names"))
+    out = numbered.join(covered.join(named, "key").withColumnRenamed("key", "__key"), "__key", "left").withColumn("__n", n_words(F.col("__text")))
+    forget(own, shared, windows)
+    hit, names = F.coalesce("__hit", F.lit(0)), F.coalesce("__names", F.array().cast("array<string>"))
+    return out.select(*keys, F.col("__n").alias("n_words"), hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), ((hit > 0) & (SHARE * hit >= F.col("__n"))).alias("contaminated"))
 
 
 def decontaminate(df: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, most_index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:

@@ -7,7 +7,7 @@ TEXTS = [
     None, "", " \n\t", "one", "a b", "Hello world. This is a fine text with more than ten words in it, I say.", "Hello world. This is a fine text with more than ten words in it, I say.",
     "x|y | z | w | home | about | contact | more | help", "A B C\nA B C\n\nA B C", "é ü 漢字　ok\x1c end", "word " * 20000, "spam " * 30, "<|endoftext|> it's 'tis we'll", "0 " * 3,
 ]
-CLASH = "n_words n_hit n_items items contaminated score predicted n_bytes n_tokens over_limit shard slot target taken kept n_chars clean_text n_removed component_id copies words"
+CLASH = "n_words n_hit n_items items contaminated score predicted n_bytes n_tokens over_limit shard slot target taken kept n_chars clean_text n_removed component_id copies words places hit names m weight name key k at item"
 
 
 @pytest.fixture(scope="session")
