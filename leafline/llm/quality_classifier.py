@@ -8,12 +8,15 @@ Labels are known for documents only, so lines start with their document's label;
 documents that the fitted field finds good are relabelled and the field is fitted again.
 
 Fitting takes at most TRAIN_DOCS labelled documents (those with the smallest hashes of their ids that
-aren't held out) and TRAIN_LINES lines of each; this bound is a parameter. Scoring reads whole texts.
-
-Defined results: a null or blank text is scored as one empty line. A null label is not learned from. Without any label, or with
-one class only, every score is the share of label 1, 0.5 if there is none. A null doc_id is not held
-out. Repeated rows are scored one by one. Other columns are carried through; results replace columns
-of the same names.
+aren't held out) of at most TRAIN_LINES lines in all, each with all of its lines; both bounds are
+parameters. Chains longer than CHAIN lines are fitted in pieces, whose features still see their neighbours.
+Scoring reads whole texts as one chain.
+
+Defined results: a null or blank text is scored as one empty line. A null label is not learned from; of
+contradicting labels of a document the smaller one counts; repeated rows and labels are learned from once.
+Without any label, or with one class only, every score is the share of label 1, 0.5 if there is none. A
+null doc_id is not held out. Repeated rows are scored one by one, and texts of any length as a whole. An
+empty table gives an empty table. Other columns are carried through; results replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from leafline.llm.common import table
 
-TRAIN_DOCS, TRAIN_LINES = 2500, 48
+TRAIN_DOCS, TRAIN_LINES, CHAIN = 2500, 100_000, 64
 FOLDS, THRESHOLD = 5, 0.3
 STEPS, ROUNDS, RIDGE = 80, 2, 1e-3
 #: Padded cells of lines handled at once.
@@ -176,18 +179,21 @@ def fit(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) ->
     field.mean, field.spread = flat.mean(axis=0), flat.std(axis=0) + 1e-3
     field.mean[-1], field.spread[-1] = 0, 1
     x = (flat - field.mean) / field.spread
-    lengths = np.array([len(d) for d in docs])
+    lines = np.array([len(d) for d in docs])
+    y = np.repeat(labels, lines).astype(np.float64)
+    bad = np.repeat(labels == 0, lines)
+    chains = [d[at : at + CHAIN] for d in docs for at in range(0, len(d), CHAIN)]
+    lengths = np.array([len(c) for c in chains])
     mask = np.arange(lengths.max()) < lengths[:, None]
-    y = np.repeat(labels, lengths).astype(np.float64)
-    bad = np.repeat(labels == 0, lengths)
+    ends = np.cumsum(lines)
     moments = [np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)]
     step = 0
     for turn in range(ROUNDS):
         if turn:
             # lines that look good though their document is bad; each bad document keeps its worst line
-            good = self_marginals
-            worst = np.concatenate([good[i, :n] <= good[i, :n].min() for i, n in enumerate(lengths.tolist())])
-            y = np.where(bad & (good[mask] > 0.5) & ~worst, 1.0, y)
+            good = self_marginals[mask]
+            worst = good <= np.repeat(np.minimum.reduceat(good, ends - lines), lines)
+            y = np.where(bad & (good > 0.5) & ~worst, 1.0, y)
         padded = np.zeros(mask.shape)
         padded[mask] = y
         seen = np.zeros((2, 2))
@@ -196,7 +202,7 @@ def fit(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) ->
             for b in (0, 1):
                 seen[a, b] = ((padded[:, :-1] == a) & (padded[:, 1:] == b) & inner).sum()
         for k in range(STEPS):
-            energy, _ = field.padded(docs)
+            energy, _ = field.padded(chains)
             good, pairs = marginals(energy, lengths, field.link)
             self_marginals = good
             slope = np.concatenate([x.T @ (good[mask] - y) / len(y) + RIDGE * field.weights, (pairs - seen).ravel() / len(y) + RIDGE * field.link.ravel()])
@@ -229,19 +235,39 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Field:
-    """Fits on the driver; its input has at most `most` documents of TRAIN_LINES lines of features."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # at most `most` rows
+def sample(docs: DataFrame, labels: DataFrame, most: int, most_lines: int) -> DataFrame:
+    """docs: id, text; labels: id, label. The rows to learn from (id, label, text): whole texts of at most `most` documents with most_lines lines in all.
+
+    Documents are taken in order of the hashes of their ids; one with more than a tenth of most_lines isn't drawn,
+    and the first that would go beyond most_lines ends the sample. Only ids, hashes and counts reach the driver.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(most)
+    mark, lines = F.xxhash64("text").alias("mark"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines")
+    rows = docs.select("id", "text").join(F.broadcast(known), "id")  # at most `most` ids
+    drawn = rows.select("id", mark, lines).where(F.col("lines") <= most_lines // 10).distinct().orderBy(F.xxhash64("id"), "id", "mark").limit(most).collect()
+    total, chosen = 0, []
+    for r in drawn:
+        total += r["lines"]
+        if total > most_lines:
+            break
+        chosen.append((r["id"], r["mark"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, "id long, mark long")
+    return rows.withColumn("mark", mark).join(F.broadcast(chosen), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "label", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Field:
+    """Fits on the driver, on all lines of at most `most` documents that have at most most_lines lines in all."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = sample(rows, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")), most, most_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [prepared(t) for t in batch.column("text").to_pylist()]
-            made = [(f[:TRAIN_LINES].astype("<f4").tobytes(), s[:TRAIN_LINES].astype("<f8").tobytes()) for f, s in made]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["id", "label", "features", "sizes"])
+            made = [(f.astype("<f4").tobytes(), s.astype("<f8").tobytes()) for f, s in made]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["id", "label", "features", "sizes"])
 
-    got = sorted(rows.mapInArrow(run, "id long, label int, features binary, sizes binary").limit(2 * most).collect(), key=lambda r: (r["id"], bytes(r["features"])))
+    got = sorted(rows.mapInArrow(run, "id long, label int, features binary, sizes binary").collect(), key=lambda r: (r["id"], bytes(r["features"])))
     features = [np.frombuffer(r["features"], "<f4").reshape(-1, WIDTH) for r in got]
     return fit(features, [np.frombuffer(r["sizes"], "<f8") for r in got], np.array([r["label"] for r in got], np.int64))
 

@@ -94,3 +94,76 @@ def test_extract_on_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x", 5), (2, "<p>a</p>", "x", 6), (2, "<p>a</p>", "x", 6)], "page_id long, html string, text string, n_chars int")
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()] == [(1, "", 0), (2, "a", 1), (2, "a", 1)]
     assert html_text.extract(df.where("false")).count() == 0
+
+
+def plain_features(line, earlier):
+    import re
+
+    words = line.split()
+    n = len(words)
+    if not n:
+        return [1.0] + [0.0] * 19
+    many = lambda pattern: len(re.findall(pattern, line))
+    symbols, bars, shouts = many(r"[#*$%&|<>{}\[\]~^=\\_@]") / n, many("[|»›•·]") / n, many("!!") / n
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    common = max(words.count(w) for w in set(words)) / n
+    out = [0, min(symbols, 3), symbols > 0.3, min(bars, 1), bars > 0.2, min(shouts, 1), shouts > 0.2, line.isupper(), same, same > 0.3, len(set(words)) / n if n >= 8 else 1, common if n >= 8 else 0]
+    out += [math.log(1 + n) / 5, min((len(line) - n + 1) / n, 20) / 10, line[-1] in ".!?…", line[0].isupper(), many("[0-9]") / len(line), line in earlier, n < 4, n > 60]
+    return [float(np.float32(x)) for x in out]
+
+
+def plain_score(text, field):
+    """Marginals by sums over both labels of each line, in plain numbers."""
+    lines = [x.strip() for x in (text or "").split("\n") if x.strip()] or [""]
+    own = [plain_features(x, lines[:i]) for i, x in enumerate(lines)]
+    none = [0.0] * 20
+    rows = [[*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), float(i == 0), float(i + 1 == len(own)), 1.0] for i in range(len(own))]
+    energy = [min(30.0, max(-30.0, sum((v - m) / s * w for v, m, s, w in zip(r, field.mean, field.spread, field.weights, strict=True)))) for r in rows]
+    emit = [(1 / (1 + math.exp(e)), 1 / (1 + math.exp(-e))) for e in energy]
+    pair = [[math.exp(field.link[a][b]) for b in (0, 1)] for a in (0, 1)]
+    unit = lambda v: [x / sum(v) for x in v]
+    ahead, back = [unit(emit[0])], [[1.0, 1.0]]
+    for e in emit[1:]:
+        ahead.append(unit([sum(ahead[-1][a] * pair[a][b] for a in (0, 1)) * e[b] for b in (0, 1)]))
+    for e in reversed(emit[1:]):
+        back.append(unit([sum(pair[a][b] * e[b] * back[-1][b] for b in (0, 1)) for a in (0, 1)]))
+    good = [unit([x * y for x, y in zip(f, b, strict=True)])[1] for f, b in zip(ahead, reversed(back), strict=True)]
+    sizes = [len(x) + 1 for x in lines]
+    a, b = field.curve
+    return 1 / (1 + math.exp(-(a * sum(g * s for g, s in zip(good, sizes, strict=True)) / sum(sizes) + b)))
+
+
+def test_scores_by_a_plain_loop(spark, sf_dir, odd_docs):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = quality_classifier.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality_classifier.query(spark, sf_dir).collect():
+        assert abs(r["score"] - plain_score(texts[r["doc_id"]], field)) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+    for r in quality_classifier.score(odd_docs, field).collect():
+        assert abs(r["score"] - plain_score(r["text"], field)) < 1e-6
+
+
+def test_whole_texts_are_learned_from(spark):
+    import random
+
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice("here there people water house little great under while again".split()) for _ in range(12)).capitalize() + "."
+    junk = lambda: " | ".join("#$%" for _ in range(9))
+    # bad documents turn bad behind their hundredth line only
+    rows = [(i, "\n".join([prose() for _ in range(100)] + [(prose if i % 2 else junk)() for _ in range(40)])) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    field = quality_classifier.train(docs, labels)
+    out = quality_classifier.score(docs, field).collect()
+    assert min(r["score"] for r in out if r["doc_id"] % 2) > max(r["score"] for r in out if not r["doc_id"] % 2)
+
+
+def test_the_sample_is_bounded_and_settled(spark):
+    rows = [(i % 40, f"text {i % 50}\nof two lines") for i in range(400)] + [(41, "\n".join("abcdefghijkl")), (None, "no id"), (42, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(43)] + [(i, 1) for i in range(43)] + [(None, 1), (5, None)], "id long, label int")
+    a = quality_classifier.sample(docs, labels, 30, 100).collect()
+    b = quality_classifier.sample(docs.repartition(7), labels.repartition(5), 30, 100).collect()
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str) and 0 < len(a) <= 30
+    assert len({(r["id"], r["text"]) for r in a}) == len(a) and all(r["label"] == r["id"] % 2 for r in a)
+    assert sum((r["text"] or "").count("\n") + 1 for r in quality_classifier.sample(docs, labels, 1000, 20).collect()) <= 20
+    assert 41 not in {r["id"] for r in quality_classifier.sample(docs, labels, 1000, 100).collect()}
