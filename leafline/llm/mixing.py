@@ -9,9 +9,15 @@ one that fits the remaining gap best, is added if that comes nearer to the targe
 The rank at which a source stops is found from sums over rank ranges, so no task orders a whole
 source; only the range in which it stops is ordered.
 
-Defined results: a null text has no words and takes none. A null source is a source of its own and
-sorts last. Repeated rows are documents of their own with equal ranks. An empty table gives an empty
-table. Random numbers are hashes of doc_id, so reruns agree. Of the input's columns only the three
+With tiers (a column of weights of inclusion, of few distinct values a source) documents of a source are
+taken unequally: a document's expected copies are its tier's weight times one level for the source, at most
+MOST_COPIES, so that the expected words meet the target. Their whole part is certain, and the sample ranks
+documents by the odds of what is left.
+
+Defined results: a null text has no words and takes none; a very long one is a number like others. A null
+source is a source of its own and sorts last. A null or negative tier counts as 0 and takes nothing. Repeated
+rows are documents of their own with equal ranks, of which one at most closes a gap. An empty table gives an
+empty table. Random numbers are hashes of doc_id, so reruns agree. Of the input's columns only the
 named ones are read; the rest are carried through, and columns named as results are replaced.
 """
 
@@ -47,58 +53,92 @@ def source_targets(sizes: DataFrame, most_copies: int = MOST_COPIES) -> DataFram
     before = by_stop.rowsBetween(Window.unboundedPreceding, -1)
     after = by_stop.rowsBetween(0, Window.unboundedFollowing)
     level = (F.col("__all") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    out = out.withColumn("__level", level)
+    out = out.withColumns({"__level": level, "__order": F.row_number().over(by_stop)})
+    # the first that its level doesn't stop; of those that stop alike the first counts as well
     free = F.col("__level") <= F.col("__cap") / F.col("weight")
-    out = out.withColumn("__found", F.min(F.when(free, F.struct(F.col("__cap") / F.col("weight"), F.col("__level")))).over(everything)["__level"])
-    return out.withColumn("target", F.coalesce(F.least(F.col("__cap"), F.col("__found") * F.col("weight")), F.lit(0.0))).drop("__cap", "__all", "__level", "__found")
+    out = out.withColumn("__found", F.min(F.when(free, F.struct("__order", "__level"))).over(everything)["__level"])
+    return out.withColumn("target", F.coalesce(F.least(F.col("__cap"), F.col("__found") * F.col("weight")), F.lit(0.0))).drop("__cap", "__all", "__level", "__order", "__found")
 
 
-def pareto_mix(df: DataFrame, size_col: str, source_col: str, id_col: str, boost: Column | None = None, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
+def tier_copies(targets: DataFrame, tiers: DataFrame, most_copies: int = MOST_COPIES) -> DataFrame:
+    """targets: __s, target; tiers: __t (source), __tier, __words. Adds to tiers __expected, the copies of each document of a tier.
+
+    The level L with sum(words * min(most_copies, L * tier)) = target is found on a source's tiers, the largest first:
+    those before the found place are taken most_copies times.
+    """
+    both = tiers.join(targets.select("__s", "target"), F.col("__t").eqNullSafe(F.col("__s"))).drop("__s").where("__tier > 0")
+    by = Window.partitionBy("__t").orderBy(F.desc("__tier"))
+    full = F.coalesce(F.sum(most_copies * F.col("__words")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weights = F.sum(F.col("__words") * F.col("__tier")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("__level", (F.col("target") - full) / F.greatest(weights, F.lit(1e-300)))
+    fits = F.when(F.col("__level") * F.col("__tier") <= most_copies, F.struct(-F.col("__tier"), F.col("__level").alias("level")))
+    both = both.withColumn("__found", F.min(fits).over(Window.partitionBy("__t"))["level"])
+    expected = F.greatest(F.lit(0.0), F.least(F.lit(float(most_copies)), F.coalesce(F.col("__found") * F.col("__tier"), F.lit(float(most_copies)))))
+    return both.select("__t", "__tier", "__words", expected.alias("__expected"))
+
+
+def pareto_mix(df: DataFrame, size_col: str, source_col: str, id_col: str, tier_col: str | None = None, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
     """Adds source_size, target (its source's), copies and taken (words) to df, which should be a written table.
 
-    boost multiplies a document's odds of inclusion (1 if none given).
+    tier_col: weights of inclusion within a source, equal if not given.
     """
-    df = df.drop("source_size", "target", "copies", "taken", "weight")
+    df = df.drop("source_size", "target", "copies", "taken")
+    own = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
     df = df.withColumns({"__size": F.col(size_col).cast("long"), "__source": F.col(source_col)})
     sizes = df.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
-    targets = source_targets(sizes).withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    targets = targets.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")).withColumnRenamed("source", "__s")
-    targets = materialize(targets, "targets")
+    targets = source_targets(sizes).drop("weight").withColumnRenamed("source", "__s")
+    share = F.col("__rest") / F.greatest(F.col("source_size"), F.lit(1))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    if tier_col is None:
+        targets = targets.withColumn("__whole", whole)
+        targets = materialize(targets.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")).withColumn("__share", share), "targets")
+        plan, at = targets, F.col("__source").eqNullSafe(F.col("__s"))
+    else:
+        targets = materialize(targets, "targets")
+        df = df.withColumn("__own", F.greatest(F.coalesce(F.col(tier_col).cast("double"), F.lit(0.0)), F.lit(0.0)))
+        tiers = df.groupBy(F.col("__source").alias("__t"), F.col("__own").alias("__tier")).agg(F.sum("__size").alias("__words"))
+        tiers = tier_copies(targets, tiers).withColumns({"__whole": F.floor("__expected"), "__share": F.col("__expected") - F.floor("__expected")})
+        tiers = tiers.withColumn("__rest", F.sum(F.col("__share") * F.col("__words")).over(Window.partitionBy("__t")))
+        plan = materialize(tiers.join(targets, F.col("__t").eqNullSafe(F.col("__s"))).drop("__t", "__words", "__expected"), "tiers")
+        at = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__own") == F.col("__tier"))
     # tables with one row for each source are sent to all tasks if their number, counted here, allows
-    few = targets.count() <= FEW_SOURCES
-    sent = F.broadcast if few else (lambda x: x)
-    rows = df.join(sent(targets.drop("weight")), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    share = F.greatest(F.col("__rest") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-12))
+    sent = F.broadcast if plan.count() <= FEW_SOURCES else (lambda x: x)
+    rows = df.join(sent(plan), at, "inner" if tier_col is None else "left").drop("__s", "__tier", "__own")
+    if tier_col is not None:  # a tier of weight 0 has no row in the plan
+        rows = rows.drop("source_size", "target").join(sent(targets), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+        rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("__rest", "__share")} | {"__whole": F.coalesce("__whole", F.lit(0))})
     u = uniform(F.col(id_col), seed)
-    rank = (u / (1 - u)) / (share / (1 - share) * (F.lit(1.0) if boost is None else boost))
-    rows = rows.withColumns({"__u": u, "__rank": rank}).withColumn("__range", F.floor(F.col("__rank") / (1 + F.col("__rank")) * ranges).cast("int"))
+    share = F.greatest(F.col("__share"), F.lit(1e-12))
+    rank = (u / (1 - u)) / (share / (1 - share))
+    rows = rows.withColumn("__rank", rank).withColumn("__range", F.floor(F.col("__rank") / (1 + F.col("__rank")) * ranges).cast("int"))
+    sampled = rows if tier_col is None else rows.where("__share > 0")
     # words of each rank range of each source: at most ranges rows a source
-    sums = rows.groupBy("__source", "__rest", "__range").agg(F.sum("__size").alias("__words"))
+    sums = sampled.groupBy("__source", "__rest", "__range").agg(F.sum("__size").alias("__words"))
     up_to = F.sum("__words").over(Window.partitionBy("__source").orderBy("__range"))
     # the range in which a source stops, and what comes before it
     stops = sums.withColumn("__up_to", up_to).where(F.col("__up_to") > F.col("__rest")).groupBy("__source").agg(
         F.min(F.struct(F.col("__range").alias("range"), (F.col("__up_to") - F.col("__words")).alias("before"))).alias("__stop")
     ).withColumnRenamed("__source", "__s")
     rows = rows.join(sent(stops), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    inside = F.col("__range") == F.col("__stop.range")
-    below = F.col("__stop").isNull() | (F.col("__range") < F.col("__stop.range"))
-    low = rows.where(below).withColumn("__sampled", F.lit(True))
-    high = rows.where(~below & ~inside).withColumn("__sampled", F.lit(False))
+    open_ = F.lit(True) if tier_col is None else F.col("__share") > 0
+    inside = F.coalesce(F.col("__range") == F.col("__stop.range"), F.lit(False)) & open_
+    below = (F.col("__stop").isNull() | (F.col("__range") < F.col("__stop.range"))) & open_
+    clear = rows.where(~inside).withColumn("__sampled", below)
     running = F.sum("__size").over(Window.partitionBy("__source").orderBy("__rank", id_col, "__size").rowsBetween(Window.unboundedPreceding, 0))
     cut = rows.where(inside).withColumn("__sampled", F.col("__stop.before") + running <= F.col("__rest"))
-    rows = low.unionByName(cut).unionByName(high)
+    rows = clear.unionByName(cut).drop("__range", "__stop").withColumns({"__open": ~F.col("__sampled") & open_, "__row": F.monotonically_increasing_id()})
+    rows = materialize(rows, "sampled")
     # the document that fills the gap best, if one comes nearer than none
     got = rows.groupBy("__source").agg((F.first("__rest") - F.coalesce(F.sum(F.when(F.col("__sampled"), F.col("__size"))), F.lit(0))).alias("__gap")).withColumnRenamed("__source", "__s")
-    rows = rows.join(sent(got), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     off = F.abs(F.col("__size") - F.col("__gap"))
-    fits = rows.where(~F.col("__sampled") & (off < F.col("__gap"))).groupBy("__source").agg(
-        F.min(F.struct(off.alias("off"), F.col("__rank").alias("rank"), F.col(id_col).alias("id"))).alias("__fit")
-    ).withColumnRenamed("__source", "__s")
+    near = rows.where("__open").join(sent(got), F.col("__source").eqNullSafe(F.col("__s"))).where(off < F.col("__gap"))
+    fits = near.groupBy("__source").agg(F.min(F.struct(off.alias("off"), F.col("__rank").alias("rank"), F.col(id_col).alias("id"), own.alias("own"), F.col("__row").alias("row"))).alias("__fit"))
+    fits = fits.select(F.col("__source").alias("__s"), F.col("__fit.row").alias("__fit"))
     rows = rows.join(sent(fits), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    filled = F.col("__fit").isNotNull() & F.col(id_col).eqNullSafe(F.col("__fit.id")) & (off == F.col("__fit.off")) & ~F.col("__sampled")
+    filled = F.coalesce(F.col("__row") == F.col("__fit"), F.lit(False))
     rows = rows.withColumn("copies", (F.col("__whole") + (F.col("__sampled") | filled).cast("int")).cast("int"))
     rows = rows.withColumn("taken", (F.col("copies") * F.col("__size")).cast("long"))
-    return rows.drop("__size", "__source", "__whole", "__rest", "__u", "__rank", "__range", "__stop", "__sampled", "__gap", "__fit")
+    return rows.drop("__size", "__source", "__whole", "__rest", "__share", "__rank", "__sampled", "__open", "__row", "__fit")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,9 @@ def test_targets_stop_at_three_times(spark):
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
     # weights 1, 2, 3, 1: b and c stop at 30 and 300, the empty source at 0
     assert got == {"a": 780.0, "b": 30.0, "c": 300.0, None: 0.0}
+    # sources that stop alike
+    alike = spark.createDataFrame([(f"s{i:02}", 60) for i in range(30)], "source string, source_size long")
+    assert sorted({(r["weight"], round(r["target"], 9)) for r in mixing.source_targets(alike).collect()}) == [(1, 30.0), (2, 60.0), (3, 90.0)]
 
 
 def test_mixture(spark, sf_dir, odd_docs, no_docs):
@@ -97,3 +100,37 @@ def test_mixture(spark, sf_dir, odd_docs, no_docs):
     odd = mixing.pareto_mix(odd_docs.withColumn("size", n_words_of(F.col("text"))), "size", "source", "doc_id")
     assert odd.count() == odd_docs.count() and odd.where("taken is null or target is null").count() == 0
     assert mixing.pareto_mix(no_docs.withColumn("size", F.lit(0)), "size", "source", "doc_id").count() == 0
+
+
+def test_one_of_repeated_rows_closes_the_gap(spark):
+    # target 110 of 210 words: the words are shared 1 : 2 : 3 by a, b and c
+    rows = [("a", i, n) for i, n in ((1, 10), (1, 10), (2, 100), (3, 90))] + [("b", 10, 220), ("c", 11, 230)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, size long").withColumn("weight", F.lit("own"))
+    out = mixing.pareto_mix(df, "size", "source", "doc_id").collect()
+    assert {r["weight"] for r in out} == {"own"} and all(r["target"] == 110 for r in out if r["source"] == "a")
+    # by its random numbers document 3 is taken, document 2 would go beyond the target, and of the rows of document 1 a single one comes nearer
+    assert sorted((r["doc_id"], r["taken"]) for r in out if r["source"] == "a") == [(1, 0), (1, 10), (2, 0), (3, 90)]
+    many = spark.createDataFrame([("a", 1, 10)] * 30 + [("b", 2, 1000)], "source string, doc_id long, size long")
+    total = {r["source"]: r["s"] for r in mixing.pareto_mix(many, "size", "source", "doc_id").groupBy("source").agg(F.sum("taken").alias("s")).collect()}
+    assert abs(total["a"] - 1300 / 3) <= 10
+
+
+def test_tiers_are_included_by_their_weights(spark):
+    # 300 sources of 40 documents of 10 words; weights 4, 2, 1 and 0 by turns
+    rows = [(f"s{s:03}", s * 100 + i, 10, (4.0, 2.0, 1.0, 0.0)[i % 4]) for s in range(300) for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, size long, tier double")
+    out = mixing.pareto_mix(df, "size", "source", "doc_id", tier_col="tier").toPandas()
+    assert len(out) == len(rows) and (out.copies <= 3).all() and (out[out.tier == 0].copies == 0).all()
+    sums = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(sums.taken - sums.target) <= 10).all()
+    # targets are 200, 400 and 600 of 400 words: 1.5 copies a document at the level of 6 weights in 12 is a third of it a weight
+    for target, level in ((200.0, 0.5 / 7 * 4), (400.0, 1.0 / 7 * 4), (600.0, None)):
+        own = out[(out.target - target).abs() < 1e-6]
+        means = own.groupby("tier").copies.mean()
+        if level is not None:
+            assert all(abs(means[t] - level * t) < 0.06 for t in (1.0, 2.0, 4.0)), means
+        else:  # the heaviest tier stops at three copies
+            assert abs(means[4.0] - 3) < 0.02 and abs(means[2.0] - 2 * means[1.0]) < 0.1
+    odd = spark.createDataFrame([("a", 1, 10, None), ("a", 2, 10, -1.0), (None, 3, 0, 1.0)], df.schema)
+    assert [r["taken"] for r in mixing.pareto_mix(odd, "size", "source", "doc_id", tier_col="tier").orderBy("doc_id").collect()] == [0, 0, 0]
+    assert mixing.pareto_mix(df.where("false"), "size", "source", "doc_id", tier_col="tier").count() == 0
