@@ -6,13 +6,15 @@ The smallest density on its path to the body is the threshold: along that path,
 at least as dense belong to the text as well. Article and main elements widen that choice: a heart inside
 one takes the outermost such element whole, with all others on the page that reach the threshold; a heart
 that holds some gives those of them, and of the elements with several blocks beside them, that reach it
-(the densest marked one if none does). What can't be text of an article by its element, role or class (menus,
-page headers, footers, sidebars, notices, adverts, forms, reader comments) is taken out beforehand.
+(the densest marked one if none does). Beside the articles of a main element, what is mostly links is left out.
+What can't be text of an article by its element, role or class (menus, page headers, footers, sidebars,
+notices, adverts, controls of forms, reader comments) is taken out beforehand; names that also wrap whole pages
+(WRAPPERS, and forms) only count where most of the text stands outside of them.
 
-Defined results: null and empty pages give an empty text. Unclosed and stray tags are repaired as
+Defined results: null and empty pages give an empty text. Pages of any length are read in one pass. Unclosed and stray tags are repaired as
 browsers do for paragraphs, list items, table parts and options; a page cut off anywhere ends all that is open. Repeated rows
 are extracted one by one. Blocks keep page order; white space inside a block becomes one blank.
-Results replace columns of the same names.
+An empty table gives an empty table. Results replace columns of the same names; others are carried through.
 """
 
 from __future__ import annotations
@@ -46,6 +48,11 @@ NOT_NAMES = frozenset(
     "subscribe subscription signup popup modal overlay nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar sidebars widget widgets related recommended "
     "recommendations share sharing social comment comments commentlist disqus reply replies respond discussion pagination pager toolbar login search skip".split()
 )
+#: Of these, names that themes and page builders also give to what holds the whole page, and the elements.
+WRAPPERS = frozenset("widget widgets share sharing social related recommended promo promotion modal overlay popup search login subscribe subscription signup banner notice skip toolbar sidebar sidebars".split())
+WRAPPING = frozenset(("form", "dialog", "aside"))
+#: A wrapper is opened if what stands outside of everything taken out is less than this part of its own text, and less than half of that is links.
+OUTSIDE = 0.2
 MARKED = frozenset(("article", "main"))
 HEADERS = frozenset("header masthead topbar".split())
 NEGATED = re.compile(r"\b(?:no|without|has|with)[-_]\w+")
@@ -53,29 +60,34 @@ PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "children", "drop", "parent", "c", "t", "lc", "lt", "density", "sum")
+    __slots__ = ("tag", "children", "drop", "wraps", "parent", "c", "t", "lc", "lt", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, wraps: bool = False) -> None:
+        self.tag, self.parent, self.drop, self.wraps = tag, parent, drop, wraps
         self.children: list[Node | str] = []
 
 
-def drops(tag: str, attributes: str, in_article: bool) -> bool:
+def drops(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is taken out, and whether it may be a wrapper of the page all the same."""
+    if tag in WRAPPING:
+        return True, True
     if tag in NOT_TEXT or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    wraps = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
+            return True, False
         if name == "role" and value.lower() in NOT_ROLES:
-            return True
+            return True, False
         if name in ("class", "id"):
             names = {p.lower() for p in PARTS.findall(NEGATED.sub(" ", value))}
-            if names & NOT_NAMES or (names & HEADERS and not in_article):
-                return True
-    return False
+            if names & (NOT_NAMES - WRAPPERS) or (names & HEADERS and not in_article):
+                return True, False
+            wraps |= bool(names & WRAPPERS)
+    return wraps, wraps
 
 
 def parse(page: str) -> Node:
@@ -114,7 +126,7 @@ def parse(page: str) -> Node:
             up = root if up.tag in SCOPE or (up.tag in BLOCKS and ends == ("p",)) else up.parent
         if ends and up is not root:
             node = up.parent
-        new = Node(tag, node, drops(tag, m[3], articles > 0))
+        new = Node(tag, node, *drops(tag, m[3], articles > 0))
         node.children.append(new)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
             continue
@@ -150,6 +162,29 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def open_wrappers(root: Node) -> None:
+    """Takes wrappers back that hold nearly all of the page's text, the largest first, and those within them likewise."""
+    outside, stack, wrappers = 0, [(root, 0, False)], []
+    while stack:
+        node, at, link = stack.pop()  # at: the wrapper around it, counted from 1
+        for x in node.children:
+            if isinstance(x, str):
+                n = len("".join(x.split()))
+                if not at:
+                    outside += n
+                else:
+                    wrappers[at - 1][0] += n
+                    wrappers[at - 1][1] += n * link
+            elif not x.drop or x.wraps:
+                if x.drop and not at:
+                    wrappers.append([0, 0, x])
+                stack.append((x, at or (len(wrappers) if x.drop else 0), link or x.tag == "a"))
+    for n, links, x in sorted(wrappers, key=lambda w: -w[0]):
+        if outside < OUTSIDE * n and 2 * links <= n:
+            x.drop, outside = False, outside + n
+            open_wrappers(x)
+
+
 def texts_in(node: Node) -> list[Node]:
     return [x for x in node.children if isinstance(x, Node) and not x.drop and x.c]
 
@@ -176,8 +211,29 @@ def parts_of(top: Node) -> list[Node]:
     return out
 
 
+def leave_links(top: Node) -> None:
+    """Takes out what is mostly links beside the marked elements within top."""
+    holders, stack = set(), list(texts_in(top))
+    while stack:
+        n = stack.pop()
+        if n.tag in MARKED:
+            while n is not None and id(n) not in holders:
+                holders.add(id(n))
+                n = n.parent
+        else:
+            stack += texts_in(n)
+    stack = [top] if holders else []
+    while stack:
+        for x in texts_in(stack.pop()):
+            if x.tag not in MARKED and id(x) in holders:
+                stack.append(x)
+            elif x.tag not in MARKED:
+                x.drop = 2 * x.lc > x.c
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees whose text is the page's, in page order."""
+    open_wrappers(root)
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     ratio = body.lc / body.c if body.c else 0.0
@@ -207,14 +263,15 @@ def main_nodes(root: Node) -> list[Node]:
     # a marked heart brings all that are marked like it; a heart that holds marked elements is made of them and of what is built like them
     parts = parts_of(root if top.tag in MARKED else top)
     marked = [n for n in parts if n.tag in MARKED]
+    for n in marked:
+        leave_links(n)
     if marked:
         own = marked if top.tag in MARKED else parts
         return [n for n in own if n is top or n.density >= threshold] or [max(marked, key=lambda n: n.sum)]
     keep, node = {id(top)}, top
     while node.parent is not None and node.tag != "body":
-        keep |= {id(x) for x in node.parent.children if isinstance(x, Node) and not x.drop and x.c and x.density >= threshold}
+        keep |= {id(x) for x in node.parent.children if isinstance(x, Node) and x is not node and not x.drop and x.c and x.density >= threshold}
         node = node.parent
-        keep.discard(id(node))
     out, stack = [], [root]
     while stack:
         n = stack.pop()

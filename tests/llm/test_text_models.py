@@ -167,3 +167,86 @@ def test_the_sample_is_bounded_and_settled(spark):
     assert len({(r["id"], r["text"]) for r in a}) == len(a) and all(r["label"] == r["id"] % 2 for r in a)
     assert sum((r["text"] or "").count("\n") + 1 for r in quality_classifier.sample(docs, labels, 1000, 20).collect()) <= 20
     assert 41 not in {r["id"] for r in quality_classifier.sample(docs, labels, 1000, 100).collect()}
+
+
+def test_pages_without_helpful_marks():
+    long = [f"Paragraph {i} tells at length what the page is about, with a number of words that no card has." for i in range(6)]
+    story, text = "".join(f"<p>{x}</p>" for x in long), "\n".join(long)
+    comments = f"<div class='comments'><p>{'nice ' * 300}</p></div>"
+    pages = [
+        f"<div class='c'>{story}</div><div><article><h3>Teaser</h3><p>Short teaser</p></article></div>",  # a teaser in an article
+        f"<div class='page'><div class='entry'>{story}</div><div class='x'><article><p>Short teaser</p></article></div></div>",
+        f"<main><article>{story}</article><div><ul><li><a href='x'>Link one</a></li><li><a href='y'>Link two</a></li></ul></div></main>",
+        f"<main><div><article>{story}</article></div></main>",
+        f"<form action='x'><div>{story}<input></div></form>",
+        f"<div class='elementor-widget-container'>{story}</div>",
+        f"<form><div class='widget'>{story}{comments}</div><div class='related'><p>More to read, in a few words</p></div></form>",
+        f"<div class='share-page'>{story}</div><nav><a>Home</a></nav>",
+        f"<div>{story}</div><div class='widget'><p>{'shop ' * 60}</p></div>{comments}",
+    ]
+    for page in pages:
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == text, page
+    assert html_text.main_text(f"<p>Short story.</p>{comments}") == "Short story."
+
+
+def test_a_very_long_page():
+    paragraphs = [f"Paragraph {i} of a very long page &amp; its words." for i in range(30000)]
+    text = html_text.main_text("<body><div class='c'><p>" + "</p><p>".join(paragraphs) + "</p></div></body>")
+    assert text == "\n".join(paragraphs).replace("&amp;", "&")
+
+
+def test_density_choice_by_its_definition():
+    """Random pages without marked elements against recursive sums: characters, tags and links of every node counted anew."""
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["one", "seven", "letters", "of", "text"]) for _ in range(n))
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([f"<p>{words(rng.randint(1, 40))}</p>", f"<p>{words(6)} <a>{words(3)}</a></p>", f"<ul><li><a>{words(2)}</a></li></ul>"])
+        return "<div>" + "".join(page(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    def kids(n):
+        return [x for x in n.children if not isinstance(x, str)]
+
+    def counts(n, in_link=False):
+        """Characters, tags below, those in links."""
+        in_link = in_link or n.tag == "a"
+        c = sum(len(x.replace(" ", "")) for x in n.children if isinstance(x, str))
+        t, lc, lt = 0, c * in_link, int(n.tag == "a")
+        for k in kids(n):
+            kc, kt, klc, klt = counts(k, in_link)
+            c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt
+        return c, t, lc, t + 1 if n.tag == "a" else lt
+
+    for _ in range(60):
+        root = html_text.parse(f"<html><body>{page(4)}{page(3)}</body></html>")
+        body = kids(root)[0]
+        whole = counts(body)
+
+        def density(n, whole=whole):
+            c, t, lc, lt = counts(n)
+            if not c:
+                return 0.0
+            t, lt = max(t, 1), max(lt, 1)
+            inner = math.log(c / max(c - lc, 1) * lc + whole[2] / whole[0] * c + math.e)
+            return c / t * math.log(math.e * max(c / max(lc, 1) * t / lt, 1.0)) / math.log(inner + math.e - 1)
+
+        def all_nodes(n):
+            return [n] + [x for k in kids(n) for x in all_nodes(k)]
+
+        nodes = [n for n in all_nodes(root) if counts(n)[0]]
+        total = {id(n): sum(density(k) for k in kids(n) if counts(k)[0]) or density(n) for n in nodes}
+        best = max(total.values())
+        chosen = html_text.main_nodes(root)
+        heart = [n for n in nodes if total[id(n)] >= best - 1e-9]
+        assert any(h in all_nodes(c) for h in heart for c in chosen)
+        path, n = [], next(h for h in heart if any(h in all_nodes(c) for c in chosen))
+        top = n
+        while n is not None and n.tag != "html":
+            path.append(n)
+            n = n.parent
+        limit = min(map(density, path))
+        beside = [k for p in path[1:] for k in kids(p) if k not in path and counts(k)[0] and density(k) >= limit]
+        assert {id(c) for c in chosen} == {id(top)} | {id(b) for b in beside}
