@@ -11,11 +11,13 @@ Texts are cut into chunks that run side by side. A chunk's state map is constant
 synchronising point on (a place where a pre-token starts whatever came before), so the map is: the
 bytes before that point, the count behind it, the state at the end. Maps compose associatively: the
 state at one chunk's end runs over the bytes up to the next synchronising point, which a reverse
-running minimum (a parallel prefix scan) finds for all chunks at once.
+running minimum (a parallel prefix scan) finds for all chunks at once. What a lane runs in sequence is bound
+by the distance of synchronising points plus CHUNK; a text that is one run of letters has one lane.
 
 Defined results: null and empty texts count 0 tokens. The tokenizer's added tokens count one wherever
-they occur, as the library has it by default. Repeated rows are counted one by one. Other columns
-are carried along by name; n_bytes, n_tokens and over_limit of the input are replaced.
+they occur, as the library has it by default. Repeated rows are counted one by one. A text of any length is counted
+as a whole. An empty table gives an empty table. Other columns are carried along by name; n_bytes, n_tokens and
+over_limit of the input are replaced. A tokenizer file of another kind than the one compiled here raises.
 """
 
 from __future__ import annotations
@@ -64,6 +66,9 @@ class Transducer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        split, own = model.get("pre_tokenizer") or {}, model["model"]
+        if model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True) or own.get("type") != "BPE" or own.get("end_of_word_suffix"):
+            raise ValueError(f"not a plain byte-level BPE tokenizer: {path}")
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]

@@ -10,12 +10,17 @@ Segment: header (magic, version, documents, ids, blocks), doc_ids and end offset
 shorter), from which the block's minimum is taken; the rest is packed at the width that holds
 PERCENTILE of them, and what does not fit stands in full in a list of exceptions.
 
+`documents_at` reads single documents: segments are chosen by their smallest and largest id, and of an image
+only the blocks that hold the document are unpacked, found through the block starts.
+
 Defined results: null and empty texts are one end id. Repeated doc_ids stay apart, ordered by the
-hashes of their texts; a null doc_id comes first. An empty table gives an empty table.
+hashes of their texts; a null doc_id comes first. A text of any length is one document of one segment. An
+empty table gives an empty table. Of the input only the two named columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import sys
 import zlib
@@ -131,10 +136,41 @@ def read_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [None if d == NO_ID else d for d in names.tolist()], ends, unpack(np.frombuffer(image, np.uint8, -1, at + 16 * docs + 8 * blocks), starts, ids)
 
 
+def read_document(image: bytes, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of the documents of this doc_id in a file image, from their blocks alone."""
+    magic, version, docs, ids, blocks = HEAD.unpack_from(image)
+    if (magic, version) != (MAGIC, VERSION):
+        raise ValueError("not a token file of this version")
+    at = HEAD.size
+    names = np.frombuffer(image, "<i8", docs, at)
+    ends = np.frombuffer(image, "<u8", docs, at + 8 * docs).astype(np.int64)
+    starts = np.frombuffer(image, "<u8", blocks, at + 16 * docs).astype(np.int64)
+    raw = np.frombuffer(image, np.uint8, -1, at + 16 * docs + 8 * blocks)
+    wanted = NO_ID if doc_id is None else doc_id
+    out = []
+    for i in range(*np.searchsorted(names, [wanted, wanted + 1]).tolist()):
+        a, b = int(ends[i - 1]) if i else 0, int(ends[i])
+        first, last = a // BLOCK, -(-b // BLOCK)
+        own = unpack(raw, starts[first:last], min(last * BLOCK, ids) - first * BLOCK)
+        out.append(own[a - first * BLOCK : b - first * BLOCK])
+    return out
+
+
+def can_cut(path: str) -> bool:
+    """Whether a tokenizer file has what Encoder's cuts rest on: bytes as they are, the usual byte-level pattern, no added token with white space."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(" \n" + OTHER_WHITE)) for t in spec.get("added_tokens") or [])
+    model = spec["model"]
+    return bool(spec.get("normalizer") is None and plain and added and model.get("type") == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix"))
+
+
 class Encoder:
     """The library's ids of whole texts.
 
-    A text is cut before every blank and line feed, if no white space stands before one of these and
+    With tokenizers that don't allow cuts (see can_cut) every text goes through the library whole. With others a text is cut before every blank and line feed, if no white space stands before one of these and
     there is no other white space; byte-level pre-tokens and added tokens never reach across such a
     place, so the ids of the pieces are the ids of the text. Each piece goes through the library once,
     many in one call, and its ids are kept. Texts with other white space go through the library whole.
@@ -143,7 +179,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.cuts = Tokenizer.from_file(path), can_cut(path)
         names = self.library.get_vocab(with_added_tokens=True)
         # a byte-level token has a letter for each of its bytes
         self.length = np.zeros(max(names.values()) + 1, np.int64)
@@ -157,7 +193,7 @@ class Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """Its pieces, the blank before a piece left out, the line feed not; None if it can't be cut."""
-        if not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+        if not self.cuts or not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
             return None
         if any(c in text for c in (OTHER_WHITE[:8] if text.isascii() else OTHER_WHITE)):
             return None
@@ -175,7 +211,7 @@ class Encoder:
         self.kept.update((p, ids[a:b].tobytes()) for p, a, b in zip(pieces, [0, *until.tolist()], until.tolist(), strict=False))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        feed = len(self.direct(["\n"])[0])
+        feed = len(self.direct(["\n"])[0]) if self.cuts else 0
         for at in range(0, len(texts), 256):
             cut = [self.cut(text) for text in texts[at : at + 256]]
             if len(self.kept) > PIECES:
@@ -203,7 +239,7 @@ def encoder(path: str) -> Encoder:
 
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """The table of segments: part, seq, before (ids before it in its part), n_ids, image; in order of part and seq."""
+    """The table of segments: part, seq, before (ids before it in its part), n_ids, low, high (its smallest and largest doc_id, null if it has none), image."""
     df = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = df.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     end = np.array([end_id], "<u4").tobytes()
@@ -218,11 +254,12 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
 
         def flush() -> pa.RecordBatch:
             nonlocal size, seq, before
-            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([segment(ids, parts)], pa.binary())]
+            known = [i for i in ids if i is not None] or [None]  # in order
+            columns = [pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in (seq, before, size, known[0], known[-1])), pa.array([segment(ids, parts)], pa.binary())]
             seq, before, size = seq + 1, before + size, 0
             ids.clear()
             parts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "before", "n_ids", "image"])
+            return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "before", "n_ids", "low", "high", "image"])
 
         for batch in batches:
             for i, one in zip(batch.column("id").to_pylist(), engine.encode(batch.column("text").to_pylist()), strict=True):
@@ -234,7 +271,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
         if ids:
             yield flush()
 
-    return materialize(df.mapInArrow(run, "part int, seq long, before long, n_ids long, image binary"), "tokens")
+    return materialize(df.mapInArrow(run, "part int, seq long, before long, n_ids long, low long, high long, image binary"), "tokens")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -264,6 +301,21 @@ def read_back(files: DataFrame, with_ids: bool) -> DataFrame:
     return files.select("part", "before", "image").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'binary' if with_ids else 'long'}")
 
 
+def documents_at(files: DataFrame, wanted: list[int]) -> DataFrame:
+    """doc_id and ids (binary, as above) of the documents wanted, a short list; those that aren't there have no row."""
+    wanted = sorted(set(wanted))
+    ranges = F.exists(F.array(*map(F.lit, wanted)).cast("array<long>"), lambda w: F.col("low").isNotNull() & (F.col("low") <= w) & (w <= F.col("high")))
+    near = files.where(F.col("high") >= wanted[0]).where(F.col("low") <= wanted[-1]).where(ranges) if wanted else files.where("false")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image in batch.column("image").to_pylist():
+                found = [(w, own.astype("<u4").tobytes()) for w in wanted for own in read_document(image, w)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids"])
+
+    return near.select("image").mapInArrow(run, "doc_id long, ids binary")
+
+
 def token_digest(df: DataFrame, path: str) -> DataFrame:
     return read_back(write_token_files(df, path), False)
 

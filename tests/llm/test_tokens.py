@@ -98,3 +98,36 @@ def test_counts_on_odd_rows(odd_docs, no_docs, library):
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 1024)
     assert token_counts.count_tokens(no_docs, PATH).count() == 0
+
+
+def test_documents_are_read_through_block_starts(spark, sf_dir, library):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    files = token_files.write_token_files(docs, PATH)
+    some = sorted(texts)[::17]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.documents_at(files, [*some, 10**12]).collect()}
+    assert got == {i: [*library.encode(texts[i], add_special_tokens=False).ids, 2] for i in some}
+    assert token_files.documents_at(files, []).count() == 0
+    parts = [np.arange(k, k + 300, dtype="<u4").tobytes() for k in range(20)]
+    image = bytearray(token_files.segment([None, *range(1, 20)], parts))
+    blocks = token_files.HEAD.unpack_from(image)[4]
+    at = token_files.HEAD.size + 16 * 20
+    starts = np.frombuffer(bytes(image), "<u8", blocks, at).astype(int)
+    first, last = 7 * 300 // token_files.BLOCK, -(-8 * 300 // token_files.BLOCK)
+    for k in range(blocks):  # all blocks but those of document 7 are spoilt
+        if not first <= k < last:
+            a = at + 8 * blocks + starts[k]
+            image[a : at + 8 * blocks + starts[k + 1] if k + 1 < blocks else len(image)] = bytes(len(image[a : at + 8 * blocks + starts[k + 1] if k + 1 < blocks else len(image)]))
+    assert token_files.read_document(bytes(image), 7)[0].tolist() == list(range(7, 307))
+    assert token_files.read_document(bytes(token_files.segment([None, None, 3], parts[:3])), None)[1].tolist() == list(range(1, 301))
+
+
+def test_other_tokenizers_see_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not token_files.can_cut(path) and token_files.can_cut(PATH)
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts[:300], add_special_tokens=False)]
+    assert list(token_files.Encoder(path).encode(texts[:300])) == want
+    with pytest.raises(ValueError):
+        token_counts.Transducer(path)
