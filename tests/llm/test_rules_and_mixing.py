@@ -134,3 +134,23 @@ def test_tiers_are_included_by_their_weights(spark):
     odd = spark.createDataFrame([("a", 1, 10, None), ("a", 2, 10, -1.0), (None, 3, 0, 1.0)], df.schema)
     assert [r["taken"] for r in mixing.pareto_mix(odd, "size", "source", "doc_id", tier_col="tier").orderBy("doc_id").collect()] == [0, 0, 0]
     assert mixing.pareto_mix(df.where("false"), "size", "source", "doc_id", tier_col="tier").count() == 0
+
+
+def test_shard_query_columns(spark, sf_dir):
+    import zlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = sharding.query(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]]), "rows", None)
+    for s in range(16):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(len(out) // 16 + (s < len(out) % 16)))
+
+
+def test_every_shard_is_as_likely(spark):
+    """Over many seeds every document is in every shard about as often."""
+    df = spark.range(24).withColumnRenamed("id", "doc_id")
+    seen = Counter((r["doc_id"], r["shard"]) for seed in range(40) for r in sharding.hypergeometric_shuffle(df, ["doc_id"], 4, seed, 4).select("doc_id", "shard").collect())
+    odd = sum((seen[i, s] - 10) ** 2 / 10 for i in range(24) for s in range(4))
+    assert odd < 125  # of about 72 on average; more than 125 once in ten thousand
