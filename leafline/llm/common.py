@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of a side that is broadcast, at most; and parts that a key falls into where it isn't.
-FEW_ROWS, SALTS = 1_000_000, 8
+FEW_ROWS, SALTS = 100_000, 8
 
 
 def join_split(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, few: int = FEW_ROWS) -> DataFrame:

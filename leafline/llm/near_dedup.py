@@ -20,7 +20,8 @@ Chance: a pair at 0.8 misses all BANDS bands of ROWS values with probability 5e-
 Defined results: texts that are null, empty or all white space have an empty set and are components of
 their own. Repeated rows and equal sets share a component, and the rows with the smallest doc_id are
 kept. Rows that share a doc_id are one node. A row without doc_id links nothing; its component is its
-class's smallest doc_id, null if there is none. An empty table gives an empty table.
+class's smallest doc_id, null if there is none. A text of any length is one row of hashes. An empty table
+gives an empty table. Of the input only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import forget, materialize, table
+from leafline.llm.common import forget, join_split, materialize, table
 from leafline.llm.shingles import mix, shingle_sets, slices
 
 BANDS, ROWS, SEED = 40, 6, 11
@@ -180,23 +181,24 @@ def links_in_block(block: pa.Table, percent: int) -> pa.Table:
 
 
 def links_outside(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """members: cluster, id (distinct). Links between components of a cluster, but those that are known, as a written table."""
-    tagged = materialize(members.join(labels, "id", "left").select("cluster", "id", F.coalesce("label", "id").alias("label")), "clusters")
-    sizes = tagged.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("cluster").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("cluster", "main")
-    rows = tagged.join(mixed, "cluster").join(sets, "id").withColumn("outer", F.col("label") != F.col("main"))
-    weight = rows.groupBy("cluster").agg(
-        F.ceil(F.sum(F.when(F.col("outer"), F.size("items"))) / OUTER_ITEMS).cast("int").alias("outers"), F.ceil(F.sum(F.size("items")) / INNER_ITEMS).cast("int").alias("inners")
-    )
-    rows = rows.join(weight, "cluster")
+    """members: cluster, id (distinct), n. Links between components of a cluster, but those that are known, as a written table.
+
+    Each cluster is dealt into blocks by sums over its components; only then sets are attached, to places in blocks.
+    """
+    tagged = materialize(members.join(labels, "id", "left").select("cluster", "id", "n", F.coalesce("label", "id").alias("label")), "clusters")
+    sizes = tagged.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+    plan = sizes.groupBy("cluster").agg(F.max(F.struct("m", "label", "items")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("items").alias("items")).where("parts > 1")
+    blocks_of = lambda items, most: F.ceil(items / most).cast("int")
+    plan = materialize(plan.select("cluster", F.col("main.label").alias("main"), blocks_of(F.col("items") - F.col("main.items"), OUTER_ITEMS).alias("outers"), blocks_of(F.col("items"), INNER_ITEMS).alias("inners")), "plan")
+    rows = join_split(tagged, plan, ["cluster"], F.col("id"))
     at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = rows.where("outer").select("cluster", at("outers", 1).alias("i"), every("inners").alias("j"), "id", "label", "outer", "items")
-    inner = rows.select("cluster", every("outers").alias("i"), at("inners", 2).alias("j"), "id", "label", F.lit(False).alias("outer"), "items")
+    outer = rows.where("label <> main").select("cluster", at("outers", 1).alias("i"), every("inners").alias("j"), "id", "label", F.lit(True).alias("outer"))
+    inner = rows.select("cluster", every("outers").alias("i"), at("inners", 2).alias("j"), "id", "label", F.lit(False).alias("outer"))
     percent = round(100 * similarity)
-    blocks = outer.unionByName(inner).groupBy("cluster", "i", "j")
+    blocks = outer.unionByName(inner).join(sets, "id").groupBy("cluster", "i", "j")
     out = materialize(blocks.applyInArrow(lambda t: links_in_block(t, percent), "a long, b long"), "links")
-    forget(tagged)
+    forget(tagged, plan)
     return out
 
 
@@ -232,11 +234,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = materialize(buckets, "buckets")
 
-    members = materialize(banded.join(buckets, "band").select("band", "c", "id"), "banded")
+    members = materialize(join_split(banded, buckets, ["band"], F.col("id")).select("band", "c", "id"), "banded")
     large = members.where(F.col("c") > SMALL_BUCKET)
     score = large.groupBy("id").agg(F.sum("c").alias("score"))
-    pivots = large.join(score, "id").groupBy("band").agg(F.max(F.struct("score", "id"))["id"].alias("pivot"))
-    clusters = materialize(large.join(pivots, "band").select(F.col("pivot").alias("cluster"), "id").distinct(), "members")
+    pivots = materialize(large.join(score, "id").groupBy("band").agg(F.max(F.struct("score", "id"))["id"].alias("pivot")), "pivots")
+    clusters = materialize(join_split(large, pivots, ["band"], F.col("id")).select(F.col("pivot").alias("cluster"), "id").distinct(), "members")
     stars = clusters.where("id <> cluster").select(F.least("id", "cluster").alias("a"), F.greatest("id", "cluster").alias("b"))
     # two that share a cluster meet there, so small buckets leave them out
     own = clusters.groupBy("id").agg(F.collect_set("cluster").alias("in"))
@@ -254,11 +256,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = sets_of(ids, texts, words)
     links = confirmed(pairs, sets, similarity)
     labels = components(links)
-    more = links_outside(clusters, labels, sets, similarity)
-    forget(sets)
+    more = links_outside(clusters.join(traits.select("id", "n"), "id"), labels, sets, similarity)
     if not more.isEmpty():
         forget(labels)
         labels = components(links.union(more))
+    forget(sets, links, more, reps, buckets, members, pivots, clusters, pairs, ids)
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("found"))
     out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id"))
