@@ -1,16 +1,19 @@
 """Substring dedup by sliding sentence spans, in DataFrame functions.
 
 A text is cut behind line feeds and behind a full stop, exclamation or question mark with a blank.
-Every run of RUN consecutive sentences with FEWEST words is hashed, as are runs of one or two with
-LONG words, so passages of few long sentences are seen as well. Spans are joined over all documents;
-sentences covered by a span that is not its hash's first (by doc_id, then place) are removed.
+Every run of n consecutive sentences with enough words is hashed, for each (n, words) of the operator's
+runs: RUN sentences of FEWEST words, and one or two of LONG words, so passages of few long sentences are
+seen as well. Spans are joined over all documents; sentences covered by a span that is not its hash's first
+(by doc_id, then place) are removed.
 
 Spans are counted with map-side sums; only hashes that occur again are joined back to their spans,
 so a passage in a third of all documents is one row of the smaller side, and Spark can split the larger one.
 
-Defined results: a null text stays null and has no sentences. Letters A to Z compare without case,
-blanks around a sentence don't count. The character U+0001 ends a sentence and is dropped. Rows that
-share a doc_id count as one document. Columns of the input named as results are replaced.
+Defined results: a null text stays null and has no sentences. A row without doc_id keeps its text whole.
+Letters A to Z compare without case, blanks around a sentence don't count. The character U+0001 ends a
+sentence and is dropped. Rows that share a doc_id count as one document. A text of any length is cut in one
+row, and its sentences are left out in one pass. An empty table gives an empty table. Columns of the input
+are carried through, whatever their names, and those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 from leafline.llm.common import LOWER, UPPER, WHITE, WHITE_RUN, let, materialize, table
 
 RUN, FEWEST, LONG = 3, 8, 50
+#: Sentences of a span and the words that it must have.
+RUNS = ((RUN, FEWEST), (1, LONG), (2, LONG))
 
 
-def spans_of(df: DataFrame) -> DataFrame:
+def spans_of(df: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
     """df: id, text. Gives hash, id, i (the first sentence's place), n (sentences)."""
     pieces = F.split(F.regexp_replace("text", "(\n|[.!?] )", "$1\u0001"), "\u0001")
     bare = F.transform(pieces, lambda x: F.btrim(F.translate(x, UPPER, LOWER), F.lit(WHITE)))
@@ -37,9 +42,10 @@ def spans_of(df: DataFrame) -> DataFrame:
         return F.filter(made, lambda x: x["words"] >= fewest)
 
     # past the end of a text the sum of words is null, which leaves a run out
-    long_ones = F.when(F.exists(w, lambda x: x >= LONG // 2), F.concat(run(1, LONG), run(2, LONG)))
-    spans = F.concat(run(RUN, FEWEST), F.coalesce(long_ones, F.filter(run(1, LONG), lambda x: F.lit(False))))
-    return df.select("id", F.inline(spans)).select("hash", "id", "i", "n")
+    none = F.array().cast("array<struct<hash:long,i:int,n:int,words:int>>")
+    # of n sentences with so many words one has an n-th of them: most texts have none for the larger numbers
+    made = [F.when(F.array_max(w) >= fewest // n, run(n, fewest)).otherwise(none) for n, fewest in runs]
+    return df.select("id", F.inline(F.concat(*made))).select("hash", "id", "i", "n")
 
 
 def repeated_sentences(spans: DataFrame) -> DataFrame:
@@ -53,24 +59,26 @@ def repeated_sentences(spans: DataFrame) -> DataFrame:
     return covered.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with clean_text, n_sentences, n_removed and words_removed (long)."""
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
+    """df with clean_text, n_sentences, n_removed and words_removed (long). runs: sentences and fewest words of the spans that are hashed."""
     df = df.drop("clean_text", "n_sentences", "n_removed", "words_removed")
-    spans = materialize(spans_of(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")), "spans")
-    gone = repeated_sentences(spans).withColumnRenamed("id", "__id")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
+    spans = materialize(spans_of(texts, runs), "spans")
+    gone = repeated_sentences(spans).select(F.col("id").alias("__id"), F.col("places").alias("__places"))
     out = df.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")
     pieces = F.split(F.regexp_replace(text_col, "(\n|[.!?] )", "$1\u0001"), "\u0001")
-    out = out.withColumn("__pieces", pieces).withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-    p, places = F.col("__pieces"), F.col("places")
+    out = out.withColumn("__pieces", pieces).withColumn("__places", F.coalesce("__places", F.array().cast("array<int>")))
+    p, places = F.col("__pieces"), F.col("__places")
+    left = lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), places), lambda i: F.get(all_, i))
     n_words = lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", F.lit(0)).otherwise(F.size(F.split(F.btrim(x, F.lit(WHITE)), WHITE_RUN)))
     return out.withColumns(
         {
-            "clean_text": F.when(F.size(places) == 0, F.translate(text_col, "\u0001", "")).otherwise(let(places, lambda gone: F.array_join(F.filter(p, lambda x, i: ~F.array_contains(gone, i)), ""))),
+            "clean_text": F.when(F.size(places) == 0, F.translate(text_col, "\u0001", "")).otherwise(let(p, lambda all_: F.array_join(left(all_), ""))),
             "n_sentences": F.coalesce(F.size(p), F.lit(0)).cast("long"),
             "n_removed": F.size(places).cast("long"),
             "words_removed": let(p, lambda all_: F.aggregate(F.transform(places, lambda i: n_words(F.get(all_, i))), F.lit(0), lambda t, x: t + x)).cast("long"),
         }
-    ).drop("__pieces", "places")
+    ).drop("__pieces", "__places")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

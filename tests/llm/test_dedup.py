@@ -128,3 +128,29 @@ def test_repeated_passages_go(spark, odd_docs, no_docs):
 
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_passages_across_sentence_edges(spark):
+    """Passages whose first and last sentence are cut: the runs that are hashed decide; short common sentences stay."""
+    say = lambda k, n: " ".join(f"{k}{i}" for i in range(n)) + "."
+    inner = [say("p", 24), say("q", 9), say("r", 9)]
+    common = "Thanks for reading. See you soon."
+    texts = {
+        1: f"{say('a', 30)} {say('x', 20)} {inner[0]} {say('y', 20)} {say('b', 12)} {common}",  # one whole sentence of 24 words between cut ones
+        2: f"{say('c', 30)} {say('z', 8)} {inner[0]} {say('w', 9)} {say('d', 12)} {common}",
+        3: f"{say('e', 12)} {inner[1]} {inner[2]} {say('f', 12)} {common}",  # two whole ones of 18 words
+        4: f"{say('g', 12)} {inner[1]} {inner[2]} {say('h', 12)} {common}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    removed = lambda **o: {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df, **o).collect()}
+    assert removed() == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert removed(runs=((3, 16), (2, 16), (1, 20))) == {1: 0, 2: 1, 3: 0, 4: 2}
+    assert removed(runs=((1, 3),)) == {1: 0, 2: 3, 3: 2, 4: 4}
+
+
+def test_long_texts_and_repeated_rows_are_cut_in_one_pass(spark):
+    text = " ".join(f"Sentence number {i} of this very long text has its words." for i in range(20000))
+    rows = [(1, text), (2, text), (2, text), (None, text), (3, "")]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = [(r["doc_id"], r["n_sentences"], r["n_removed"], len(r["clean_text"])) for r in out]
+    assert sorted(by, key=str) == sorted([(1, 20000, 0, len(text)), (2, 20000, 20000, 0), (2, 20000, 20000, 0), (None, 20000, 0, len(text)), (3, 1, 0, 0)], key=str)
