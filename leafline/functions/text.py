@@ -27,8 +27,7 @@ def stem(w: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words in lower case without stop words and single letters."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})")), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})")), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def terms(text: Column) -> Column:
