@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafline.plans.columns import let
+
 # The stop words of the retrieval functions.
 STOP_WORDS = (
     "a about above after again against all am an and any are aren't as at be because been before being below between both but by can can't cannot could couldn't did didn't do does "
@@ -17,12 +22,23 @@ STOP_WORDS = (
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
 
 
+def cut(x: Column, k: int) -> Column:
+    return F.substr(x, F.lit(1), F.length(x) - k)
+
+
+def without_plural(w: Column) -> Column:
+    hissing = reduce(or_, (w.endswith(e) for e in ("ses", "xes", "zes", "ches", "shes")))
+    longer = F.when((F.length(w) > 5) & w.endswith("ies"), F.concat(cut(w, 3), F.lit("y"))).when((F.length(w) > 4) & hissing, cut(w, 2)).when((F.length(w) > 3) & ~w.endswith("ss"), cut(w, 1)).otherwise(w)
+    return F.when(w.endswith("s"), longer).otherwise(w)
+
+
+def without_ending(w: Column) -> Column:
+    return F.when((F.length(w) > 6) & w.endswith("ing"), cut(w, 3)).when((F.length(w) > 5) & w.endswith("ed"), cut(w, 2)).otherwise(w)
+
+
 def stem(w: Column) -> Column:
     """Plural endings, then -ing or -ed; of a word in lower case."""
-    n = F.length(w)
-    cut = lambda x, k: F.substr(x, F.lit(1), F.length(x) - k)
-    s = F.when((n > 5) & w.endswith("ies"), F.concat(cut(w, 3), F.lit("y"))).when((n > 4) & w.rlike("(?:s|x|z|ch|sh)es$"), cut(w, 2)).when((n > 3) & w.endswith("s") & ~w.endswith("ss"), cut(w, 1)).otherwise(w)
-    return F.when((F.length(s) > 6) & s.endswith("ing"), cut(s, 3)).when((F.length(s) > 5) & s.endswith("ed"), cut(s, 2)).otherwise(s)
+    return let(without_plural(w), without_ending)
 
 
 def tokens(text: Column) -> Column:
@@ -31,7 +47,8 @@ def tokens(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.transform(tokens(text), stem)
+    # twice, so that the first result is bound before its ending is looked at
+    return F.transform(F.transform(tokens(text), without_plural), without_ending)
 
 
 STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"

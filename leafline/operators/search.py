@@ -6,40 +6,65 @@ group limit, which cuts rows in every task before they shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafline.functions import text as T
+from leafline.plans.columns import let
 from leafline.plans.registry import register
+from leafline.plans.scratch import materialize
 from leafline.plans.tables import load
 
 K1, B = 1.4, 0.75
-TOP = 4
+TOP, BONUS = 4, 1.5
+#: Terms of queries, and pairs of query and passage, that are sent to all tasks; more are shuffled.
+FEW_TERMS, FEW_PAIRS = 10_000, 500_000
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf and n (terms of the passage)."""
-    ts = passages.select(key, T.terms(F.col(text)).alias("ts"))
-    return ts.select(key, F.size("ts").alias("n"), F.explode("ts").alias("term")).groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = let(T.terms(F.col(text)), lambda ts: F.transform(ts, lambda t: F.struct(F.size(ts).alias("n"), t.alias("term"))))
+    return passages.select(key, F.explode_outer(pairs).alias("x")).where("x is not null").select(key, "x.*").groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(passages: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = TOP) -> DataFrame:
-    """query_key, rank, key and score of the k best passages of each query; ties go by key. Queries of stop words only find nothing."""
-    post = postings(passages, key, text)
-    stats = passages.select(F.size(T.terms(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean"))
-    asked = queries.select(query_key, F.explode(F.array_distinct(T.terms(F.col(query_text)))).alias("term"))
+    """query_key, rank, key and score of the k best passages of each query; ties go by key. Queries of stop words only find nothing.
+
+    Passages are cut into terms once; only terms that are asked for leave their task, beside one row a passage
+    with its length. The phrase bonus reads the texts of those pairs again that it could lift among the k best.
+    """
+    asked = materialize(queries.select(query_key, F.explode(F.array_distinct(T.terms(F.col(query_text)))).alias("term")), "asked")
+    wanted = materialize(asked.select("term").distinct(), "wanted")
+    few = [r["term"] for r in wanted.limit(FEW_TERMS + 1).collect()]
+    own = (lambda all_: F.filter(all_, lambda t: t.isin(*few))) if len(few) <= FEW_TERMS else (lambda all_: all_)
+    # a row without term carries each passage's length, which stands in every struct, so that no row drags the whole array along
+    marked = let(T.terms(F.col(text)), lambda all_: F.transform(F.concat(F.array(F.lit(None).cast("string")), own(all_)), lambda t: F.struct(F.size(all_).alias("n"), t.alias("term"))))
+    found = passages.select(key, F.explode_outer(marked).alias("x")).select(key, "x.*")
+    if len(few) > FEW_TERMS:
+        found = found.join(wanted, "term").select(key, "n", "term").unionByName(found.where("term is null"))
+    post = materialize(found.groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = post.where("term is null").agg(F.sum("tf").alias("total"), (F.sum(F.col("n") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    post = post.where("term is not null")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = post.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    known = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    scored = hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
-    # the phrase bonus needs the texts of scored pairs
-    phrase = F.trim(F.regexp_replace(F.lower(F.col("__q")), "[?.!]+$", ""))
-    scored = scored.join(queries.select(query_key, F.col(query_text).alias("__q")), query_key).join(passages.select(key, F.col(text).alias("__p")), key)
-    bonus = F.when((F.length("__q") > 8) & F.contains(F.lower("__p"), phrase), 1.5).otherwise(1.0)
-    scored = scored.select(query_key, key, F.round(F.col("score") * bonus, 6).alias("score"))
+    scored = materialize(post.join(known, "term").groupBy(query_key, key).agg(F.sum(part).alias("score")), "scored")
+    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    least = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(query_key).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("r"))
+    # a bonus of half the score lifts nothing else among the best
+    near = scored.join(least, query_key).where((F.col("r") < k) | (F.col("score") * BONUS >= F.col("least") - 1e-6)).drop("least", "r")
+    asking = queries.select(query_key, F.trim(F.regexp_replace(F.lower(F.col(query_text)), "[?.!]+$", "")).alias("__q")).where(F.length(F.col(query_text)) > 8)
+    near = materialize(near, "near")
+    pairs = near.join(asking.select(query_key), query_key, "left_semi").select(query_key, key)
+    sent = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
+    pairs = passages.select(key, F.lower(F.col(text)).alias("__p")).join(sent, key).join(asking, query_key)
+    lifted = pairs.where(F.contains("__p", "__q")).select(query_key, key, F.lit(BONUS).alias("__bonus"))
+    out = near.join(lifted, [query_key, key], "left").select(query_key, key, F.round(F.col("score") * F.coalesce("__bonus", F.lit(1.0)), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 TERMS_SQL = T.TOKENS_SQL.format("text")
@@ -76,18 +101,29 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.groupBy("term").agg(F.sum("tf").cast("long").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
-def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines with terms as sentences: key, pos, line and terms."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("terms", T.terms(F.col("line")))
-    return lines.where(F.size("terms") > 0)
+def runs_of(s: Column, key: Callable[[Column], Column]) -> Column:
+    """Where the runs of equal keys in a sorted list begin (a, from 0) and how long they are (n)."""
+    starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (key(F.get(s, i - 1)) != key(x)), i)), lambda i: i.isNotNull())
+    return let(starts, lambda at: F.transform(at, lambda a, k: F.struct(a.alias("a"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).alias("n"))))
+
+
+def units(text: Column) -> Column:
+    """Lines with terms as sentences: pos, line and terms of each."""
+    cut = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), T.terms(x).alias("terms")))
+    return F.filter(F.coalesce(cut, F.array().cast("array<struct<pos:int,line:string,terms:array<string>>>")), lambda x: F.size(x["terms"]) > 0)
+
 
+def entries(lines: Column) -> Column:
+    """term, place (of its line in lines) and c (how often it is there), in order of terms."""
+    count = lambda s, i: F.transform(runs_of(s, lambda t: t), lambda r: F.struct(F.get(s, r["a"]).alias("term"), i.alias("place"), r["n"].alias("c")))
+    return F.sort_array(F.flatten(F.transform(lines, lambda x, i: let(F.sort_array(x["terms"]), lambda s: count(s, i)))))
 
-def weights(lines: DataFrame, key: str) -> DataFrame:
-    """key, term, tf, idf and centroid weight of each term within its document."""
-    n = lines.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    by = lines.select(key, "pos", F.explode("terms").alias("term")).groupBy(key, "pos", "term").agg(F.count(F.lit(1)).alias("c")).groupBy(key, "term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + F.col("total") / (1 + F.col("df")))
-    return by.join(n, key).select(key, "term", "tf", idf.alias("idf"), (idf * F.col("tf")).alias("weight"))
+
+def term_weights(all_: Column, total: Column) -> Column:
+    """all_: entries. a, n (the run of a term's entries), idf and weight (its centroid weight within the document)."""
+    idf = lambda r: F.log(1 + total / (1 + r["n"]))
+    tf = lambda r: F.aggregate(F.slice(all_, r["a"] + 1, r["n"]), F.lit(0), lambda t, e: t + e["c"])
+    return F.transform(runs_of(all_, lambda e: e["term"]), lambda r: F.struct(r["a"].alias("a"), r["n"].alias("n"), idf(r).alias("idf"), (idf(r) * tf(r)).alias("weight")))
 
 
 LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents)"
@@ -99,21 +135,41 @@ w AS (SELECT doc_id, term, tf, ln(1 + total / (1 + df)) AS idf, ln(1 + total / (
 
 @register("keywords", f"WITH {WEIGHTS_SQL} SELECT doc_id, rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS rank FROM w WHERE length(term) > 3 AND NOT regexp_matches(term, '^[0-9]+$')) WHERE rank <= 12")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve heaviest terms of each document."""
-    w = weights(units(load(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id").where((F.length("term") > 3) & ~F.col("term").rlike("^[0-9]+$"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 6)), "term"))
-    return w.withColumn("rank", rank).where("rank <= 12").select("doc_id", "rank", "term", F.round("weight", 6).alias("weight"))
+    """The twelve heaviest terms of each document, found within its row."""
+
+    def best(lines: Column) -> Column:
+        heavy = lambda all_: F.transform(term_weights(all_, F.size(lines)), lambda w: F.struct((-F.round(w["weight"], 6)).alias("o"), F.get(all_, w["a"])["term"].alias("term")))
+        right = lambda x: (F.length(x["term"]) > 3) & ~x["term"].rlike("^[0-9]+$")
+        return let(entries(lines), lambda all_: F.slice(F.sort_array(F.filter(heavy(all_), right)), 1, 12))
+
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(let(units(F.col("text")), best)).alias("rank", "x")).where("x is not null")
+    return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "x.term", (-F.col("x.o")).alias("weight"))
+
+
+def scored_lines(text: Column) -> Column:
+    """pos, line, terms and score of all lines with terms: centroid times idf over distinct terms, by length, early and numeric sentences raised.
+
+    Sums over terms and lines are runs of sorted lists within the document's row, so nothing is exchanged.
+    """
+
+    def sums(all_: Column, total: Column) -> Column:
+        shares = lambda w: F.transform(F.slice(all_, w["a"] + 1, w["n"]), lambda e: F.struct(e["place"].alias("place"), (w["idf"] * w["weight"]).alias("w")))
+        by_place = F.sort_array(F.flatten(F.transform(term_weights(all_, total), shares)))
+        add = lambda s, r: F.aggregate(F.slice(s, r["a"] + 1, r["n"]), F.lit(0.0), lambda t, x: t + x["w"])
+        return let(by_place, lambda s: F.transform(runs_of(s, lambda x: x["place"]), lambda r: add(s, r)))
+
+    def scores(lines: Column) -> Column:
+        raised = lambda x, i: F.when(i < 3, 1.25).otherwise(1) * F.when(x["line"].rlike("[0-9]"), 1.08).otherwise(1)
+        score = lambda x, i, by: F.get(by, i) / F.pow(F.size(x["terms"]), F.lit(0.6)) * raised(x, i)
+        one = lambda x, i, by: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), x["terms"].alias("terms"), score(x, i, by).alias("score"))
+        return let(let(entries(lines), lambda all_: sums(all_, F.size(lines))), lambda by: F.transform(lines, lambda x, i: one(x, i, by)))
+
+    return let(units(text), scores)
 
 
 def sentence_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, line, terms and score: centroid times idf over distinct terms, by length, early and numeric sentences raised."""
-    lines = units(docs, key, text)
-    w = weights(lines, key).select(key, "term", (F.col("weight") * F.col("idf")).alias("w"))
-    sums = lines.select(key, "pos", F.explode(F.array_distinct("terms")).alias("term")).join(w, [key, "term"]).groupBy(key, "pos").agg(F.sum("w").alias("s"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    out = lines.withColumn("__place", place).join(sums, [key, "pos"])
-    score = F.col("s") / F.pow(F.size("terms"), F.lit(0.6)) * F.when(F.col("__place") <= 3, 1.25).otherwise(1) * F.when(F.col("line").rlike("[0-9]"), 1.08).otherwise(1)
-    return out.select(key, "pos", "line", "terms", score.alias("score"))
+    """key, pos, line, terms and score of all lines with terms."""
+    return docs.select(key, F.explode_outer(scored_lines(F.col(text))).alias("x")).where("x is not null").select(key, "x.*")
 
 
 @register(
@@ -122,19 +178,22 @@ def sentence_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     SELECT doc_id, CAST(pos AS INT) AS pos, round(s / pow(n, 0.6) * CASE WHEN place <= 3 THEN 1.25 ELSE 1 END * CASE WHEN regexp_matches(l.text, '[0-9]') THEN 1.08 ELSE 1 END, 4) AS score FROM s JOIN c USING (doc_id, pos) JOIN l USING (doc_id, pos)""",
 )
 def sentence_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_scores(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "pos", F.round("score", 4).alias("score"))
+    return sentence_scores(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pos", F.round("score", 4).alias("score"))
 
 
 def summary_points(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The best sentences that don't say the same: a greedy pick, as a fold over each document's sentences in order of score."""
-    s = sentence_scores(docs, key, text).withColumn("score", F.round("score", 6))
-    ordered = s.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "pos", "line", F.array_distinct("terms").alias("terms")))).alias("all"))
-    want = F.least(F.lit(12), F.greatest(F.lit(4), F.floor(F.sqrt(F.size("all")) * 1.3 + 0.5)))
     kept = "array<struct<o:double,pos:int,line:string,terms:array<string>>>"
     same = lambda a, b: F.size(F.array_intersect(a["terms"], b["terms"])) > 0.6 * F.greatest(F.lit(1), F.least(F.size(a["terms"]), F.size(b["terms"])))
-    step = lambda acc, x: F.when((F.size(acc) >= want) | F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
-    picked = F.aggregate("all", F.array().cast(kept), step)
-    return ordered.select(key, F.explode(picked).alias("p")).select(key, F.col("p.pos").alias("pos"), F.col("p.line").alias("line"))
+
+    def pick(scored: Column) -> Column:
+        ordered = F.sort_array(F.transform(scored, lambda x: F.struct((-F.round(x["score"], 6)).alias("o"), x["pos"].alias("pos"), x["line"].alias("line"), F.array_distinct(x["terms"]).alias("terms"))))
+        want = F.least(F.lit(12), F.greatest(F.lit(4), F.floor(F.sqrt(F.size(scored)) * 1.3 + 0.5)))
+        step = lambda acc, x: F.when((F.size(acc) >= want) | F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
+        return F.aggregate(ordered, F.array().cast(kept), step)
+
+    picked = let(scored_lines(F.col(text)), pick)
+    return docs.select(key, F.explode_outer(picked).alias("p")).where("p is not null").select(key, "p.pos", "p.line")
 
 
 @register("summary_points")
