@@ -18,7 +18,7 @@ from leafline.plans.scratch import materialize
 from leafline.plans.tables import load
 
 K1, B = 1.4, 0.75
-TOP, BONUS = 4, 1.5
+TOP, BONUS, HEADING = 4, 1.5, 1.4
 #: Terms of queries, and pairs of query and passage, that are sent to all tasks; more are shuffled.
 FEW_TERMS, FEW_PAIRS = 10_000, 500_000
 
@@ -146,15 +146,17 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "x.term", (-F.col("x.o")).alias("weight"))
 
 
-def scored_lines(text: Column) -> Column:
-    """pos, line, terms and score of all lines with terms: centroid times idf over distinct terms, by length, early and numeric sentences raised.
+def scored_lines(units_: Column, boost: Column | None = None) -> Column:
+    """units_: as units gives them; boost: terms that count 1.4 times. pos, line, terms and score of each: centroid times idf over distinct terms, by length, early and numeric sentences raised.
 
     Sums over terms and lines are runs of sorted lists within the document's row, so nothing is exchanged.
     """
 
     def sums(all_: Column, total: Column) -> Column:
-        shares = lambda w: F.transform(F.slice(all_, w["a"] + 1, w["n"]), lambda e: F.struct(e["place"].alias("place"), (w["idf"] * w["weight"]).alias("w")))
-        by_place = F.sort_array(F.flatten(F.transform(term_weights(all_, total), shares)))
+        lift = lambda w: F.lit(1.0) if boost is None else F.when(F.array_contains(boost, F.get(all_, w["a"])["term"]), HEADING).otherwise(1.0)
+        shares = lambda w: F.transform(F.slice(all_, w["a"] + 1, w["n"]), lambda e: F.struct(e["place"].alias("place"), (w["idf"] * w["weight"] * w["lift"]).alias("w")))
+        lifted = F.transform(term_weights(all_, total), lambda w: F.struct(w["a"].alias("a"), w["n"].alias("n"), w["idf"].alias("idf"), w["weight"].alias("weight"), lift(w).alias("lift")))
+        by_place = F.sort_array(F.flatten(F.transform(lifted, shares)))
         add = lambda s, r: F.aggregate(F.slice(s, r["a"] + 1, r["n"]), F.lit(0.0), lambda t, x: t + x["w"])
         return let(by_place, lambda s: F.transform(runs_of(s, lambda x: x["place"]), lambda r: add(s, r)))
 
@@ -164,12 +166,12 @@ def scored_lines(text: Column) -> Column:
         one = lambda x, i, by: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), x["terms"].alias("terms"), score(x, i, by).alias("score"))
         return let(let(entries(lines), lambda all_: sums(all_, F.size(lines))), lambda by: F.transform(lines, lambda x, i: one(x, i, by)))
 
-    return let(units(text), scores)
+    return let(units_, scores)
 
 
 def sentence_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, line, terms and score of all lines with terms."""
-    return docs.select(key, F.explode_outer(scored_lines(F.col(text))).alias("x")).where("x is not null").select(key, "x.*")
+    return docs.select(key, F.explode_outer(scored_lines(units(F.col(text)))).alias("x")).where("x is not null").select(key, "x.*")
 
 
 @register(
@@ -181,8 +183,11 @@ def sentence_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_scores(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pos", F.round("score", 4).alias("score"))
 
 
-def summary_points(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The best sentences that don't say the same: a greedy pick, as a fold over each document's sentences in order of score."""
+def summary_points(docs: DataFrame, key: str, text: str, lines: Column | None = None, boost: Column | None = None) -> DataFrame:
+    """The best sentences that don't say the same: a greedy pick, as a fold over each document's sentences in order of score.
+
+    lines: the units that are picked from, as units gives them, which are a text's lines if none are given.
+    """
     kept = "array<struct<o:double,pos:int,line:string,terms:array<string>>>"
     same = lambda a, b: F.size(F.array_intersect(a["terms"], b["terms"])) > 0.6 * F.greatest(F.lit(1), F.least(F.size(a["terms"]), F.size(b["terms"])))
 
@@ -192,7 +197,7 @@ def summary_points(docs: DataFrame, key: str, text: str) -> DataFrame:
         step = lambda acc, x: F.when((F.size(acc) >= want) | F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
         return F.aggregate(ordered, F.array().cast(kept), step)
 
-    picked = let(scored_lines(F.col(text)), pick)
+    picked = let(scored_lines(units(F.col(text)) if lines is None else lines, boost), pick)
     return docs.select(key, F.explode_outer(picked).alias("p")).where("p is not null").select(key, "p.pos", "p.line")
 
 
