@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while tables are written: long texts make the usual 10,000 many megabytes.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _own: list[str] = []
 
 
@@ -32,13 +36,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs within: each task holds a batch several times, in the JVM and in Python."""
+    before = int(spark.conf.get(BATCH_CONF))
+    spark.conf.set(BATCH_CONF, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, str(before))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage once, survives lost executors.
 
     The path is kept on the returned frame as `written_at` for `forget`.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(f"{path}/rows")
+    with small_batches(df.sparkSession):
+        df.write.parquet(f"{path}/rows")
     out = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
     out.written_at = path
     return out
