@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.plans.columns import let
 from leafline.plans.scratch import forget, materialize
 
-__all__ = ["LOWER", "UPPER", "WHITE", "WHITE_RUN", "forget", "join_split", "let", "materialize", "n_bytes_of", "n_words_of", "table", "words_of"]
+__all__ = ["LOWER", "UPPER", "WHITE", "WHITE_RUN", "forget", "join_split", "kept", "let", "materialize", "n_bytes_of", "n_words_of", "table", "trimmed", "words_of"]
 
 #: White space between words: tab, line feed, vertical tab, form feed, carriage return, blank.
 WHITE = "\t\n\x0b\x0c\r "
@@ -24,6 +30,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FEW_ROWS, SALTS = 100_000, 8
 
 
+#: What a Python worker keeps between the tasks of one operator, by name: compiled tokenizers and their tables.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is the one that knows it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow in little memory: Python workers live on from one operator to the next, idle while others need the memory.
+
+    What is kept by other names than those that begin with `uses` is dropped first, and freed memory is given back at the end.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [name for name in _kept if not uses or not name.startswith(uses)]
+        for name in others:
+            del _kept[name]
+        if others:
+            give_back()
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
 def join_split(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, few: int = FEW_ROWS) -> DataFrame:
     """big joined to small, a written table with one row for each key, so that no key of big lands in one task.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafline.llm.common import forget, join_split, materialize, table
+from leafline.llm.common import forget, join_split, materialize, table, trimmed
 from leafline.llm.shingles import MASK, mix
 
 SPAN, K = 13, 5
@@ -149,7 +149,7 @@ def with_index(df: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
             columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array(map(verdict, n, hit), pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in fields] + columns, names=[*fields, "n_words", "n_hit", "n_items", "items", "contaminated"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def text_hash(word: bytes) -> int:
@@ -187,7 +187,7 @@ def prints_of(df: DataFrame, lengths: list[int], every: bool) -> DataFrame:
                     names=["key", "k", "at", "print"],
                 )
 
-    return df.mapInArrow(run, "key long, k int, at long, print long")
+    return df.mapInArrow(trimmed(run), "key long, k int, at long, print long")
 
 
 def windows_of(df: DataFrame, lengths: list[int]) -> DataFrame:
@@ -214,7 +214,7 @@ def windows_of(df: DataFrame, lengths: list[int]) -> DataFrame:
                         h1, h2 = grams(codes, k)[at], grams(mix(codes ^ np.uint64(SECOND)), k)[at]
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["key", "k", "at", "h1", "h2"])
 
-    return df.mapInArrow(run, "key long, k int, at long, h1 long, h2 long")
+    return df.mapInArrow(trimmed(run), "key long, k int, at long, h1 long, h2 long")
 
 
 def by_join(df: DataFrame, bench: DataFrame, keys: list[str]) -> DataFrame:

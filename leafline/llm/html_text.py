@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import table
+from leafline.llm.common import table, trimmed
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -330,7 +330,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None
                 texts = [main_text(page) for page in part.column("__html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in named), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*named, "text", "n_chars"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import forget, join_split, materialize, table
+from leafline.llm.common import forget, join_split, materialize, table, trimmed
 from leafline.llm.shingles import mix, shingle_sets, slices
 
 BANDS, ROWS, SEED = 40, 6, 11
@@ -82,12 +82,18 @@ def lowered(column: pa.Array) -> list[bytes]:
     return [t.lower() for t in column.cast(pa.binary()).to_pylist()]  # of bytes: A to Z only
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts are copied at a time."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def signatures(df: DataFrame, words: int) -> DataFrame:
     """df: id, text. Gives id, n (set size), k1, k2 (the set's key), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = lowered(batch.column("text"))
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], words)
@@ -100,14 +106,14 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
                 columns = [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), bands, marks]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "k1", "k2", "bands", "sketch"])
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return df.mapInArrow(trimmed(run), "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(df: DataFrame, words: int) -> DataFrame:
     """df: id, text. Gives id, items (the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = lowered(batch.column("text"))
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], words)
@@ -115,7 +121,7 @@ def full_sets(df: DataFrame, words: int) -> DataFrame:
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), items], names=["id", "items"])
 
-    return df.mapInArrow(run, "id long, items array<long>")
+    return df.mapInArrow(trimmed(run), "id long, items array<long>")
 
 
 def bits_apart(a: Column, b: Column) -> Column:

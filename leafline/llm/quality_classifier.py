@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import table
+from leafline.llm.common import materialize, table, trimmed
 
 TRAIN_DOCS, TRAIN_LINES, CHAIN = 2500, 100_000, 64
 FOLDS, THRESHOLD = 5, 0.3
 STEPS, ROUNDS, RIDGE = 80, 2, 1e-3
 #: Padded cells of lines handled at once.
 CELLS = 200_000
+#: Documents whose features are held at once.
+AT_ONCE = 250
 NO_SYMBOLS = str.maketrans("", "", "#*$%&|<>{}[]~^=\\_@")
 NO_BARS = str.maketrans("", "", "|»›•·")
 NO_DIGITS = str.maketrans("", "", "0123456789")
@@ -142,7 +144,8 @@ class Field:
     def padded(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(d) for d in docs])
         energy = np.zeros((len(docs), lengths.max()))
-        flat = ((np.vstack(docs) - self.mean) / self.spread) @ self.weights
+        weights = self.weights / self.spread
+        flat = np.concatenate([d @ weights for d in docs]) - self.mean @ weights
         energy[np.arange(energy.shape[1]) < lengths[:, None]] = flat
         return energy, lengths
 
@@ -243,9 +246,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, most_lines: int) -> Da
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    mark, lines = F.xxhash64("text").alias("mark"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines")
-    rows = docs.select("id", "text").join(F.broadcast(known), "id")  # at most `most` ids
-    drawn = rows.select("id", mark, lines).where(F.col("lines") <= most_lines // 10).distinct().orderBy(F.xxhash64("id"), "id", "mark").limit(most).collect()
+    mark, lines = F.xxhash64("text").alias("mark"), (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1).alias("lines")
+    # at most `most` ids; written, so that the corpus is read once
+    rows = materialize(docs.select("id", "text").join(F.broadcast(known), "id").select("id", "label", "text", mark, lines), "labelled")
+    drawn = rows.select("id", "mark", "lines").where(F.col("lines") <= most_lines // 10).distinct().orderBy(F.xxhash64("id"), "id", "mark").limit(most).collect()
     total, chosen = 0, []
     for r in drawn:
         total += r["lines"]
@@ -253,7 +257,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, most_lines: int) -> Da
             break
         chosen.append((r["id"], r["mark"]))
     chosen = docs.sparkSession.createDataFrame(chosen, "id long, mark long")
-    return rows.withColumn("mark", mark).join(F.broadcast(chosen), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "label", "text")
+    return rows.join(F.broadcast(chosen), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Field:
@@ -267,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made = [(f.astype("<f4").tobytes(), s.astype("<f8").tobytes()) for f, s in made]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["id", "label", "features", "sizes"])
 
-    got = sorted(rows.mapInArrow(run, "id long, label int, features binary, sizes binary").collect(), key=lambda r: (r["id"], bytes(r["features"])))
+    got = sorted(rows.mapInArrow(trimmed(run), "id long, label int, features binary, sizes binary").collect(), key=lambda r: (r["id"], bytes(r["features"])))
     features = [np.frombuffer(r["features"], "<f4").reshape(-1, WIDTH) for r in got]
     return fit(features, [np.frombuffer(r["sizes"], "<f8") for r in got], np.array([r["label"] for r in got], np.int64))
 
@@ -280,14 +284,13 @@ def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            values = np.zeros(len(texts))
-            for at in range(0, len(texts), 500):
-                made = [prepared(t) for t in texts[at : at + 500]]
-                values[at : at + 500] = field.scores([m[0] for m in made], [m[1] for m in made])
+            texts, values = batch.column("__text"), np.zeros(batch.num_rows)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                made = [prepared(t) for t in texts.slice(at, AT_ONCE).to_pylist()]
+                values[at : at + AT_ONCE] = field.scores([m[0] for m in made], [m[1] for m in made])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in named), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))], names=[*named, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

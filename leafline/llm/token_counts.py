@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import table
+from leafline.llm.common import kept, table, trimmed
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 CHUNK, AT_ONCE = 512, 3 << 20
@@ -308,10 +308,7 @@ class Transducer:
 
 def transducer(path: str) -> Transducer:
     """One for each worker process and vocabulary."""
-    kept = sys.modules[__name__].__dict__.setdefault("_kept", {})
-    if path not in kept:
-        kept[path] = Transducer(path)
-    return kept[path]
+    return kept(f"transducer {path}", lambda: Transducer(path))
 
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
@@ -331,7 +328,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", keep: list[st
             columns = [batch.column(c) for c in named] + [pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*named, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.mapInArrow(run, f"{schema}{', ' * bool(schema)}n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return df.mapInArrow(trimmed(run, "transducer"), f"{schema}{', ' * bool(schema)}n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ empty table gives an empty table. Of the input only the two named columns are re
 from __future__ import annotations
 
 import json
+import os
 import struct
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import materialize, table
+from leafline.llm.common import kept, materialize, table, trimmed
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 BLOCK, PERCENTILE = 128, 0.9
@@ -229,13 +229,8 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary."""
-    kept = sys.modules[__name__].__dict__.setdefault("_kept", {})
-    if path not in kept:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        kept[path] = Encoder(path)
-    return kept[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -271,7 +266,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
         if ids:
             yield flush()
 
-    return materialize(df.mapInArrow(run, "part int, seq long, before long, n_ids long, low long, high long, image binary"), "tokens")
+    return materialize(df.mapInArrow(trimmed(run, "encoder"), "part int, seq long, before long, n_ids long, low long, high long, image binary"), "tokens")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -298,7 +293,7 @@ def read_back(files: DataFrame, with_ids: bool) -> DataFrame:
                 columns = [pa.array(names, pa.int64()), pa.array(starts + first[part] + before), pa.array(ends - starts), pa.array(own, pa.binary()) if with_ids else pa.array([zlib.crc32(x) for x in own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", last])
 
-    return files.select("part", "before", "image").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'binary' if with_ids else 'long'}")
+    return files.select("part", "before", "image").mapInArrow(trimmed(run), f"doc_id long, start long, n_tokens long, {last} {'binary' if with_ids else 'long'}")
 
 
 def documents_at(files: DataFrame, wanted: list[int]) -> DataFrame:
@@ -313,7 +308,7 @@ def documents_at(files: DataFrame, wanted: list[int]) -> DataFrame:
                 found = [(w, own.astype("<u4").tobytes()) for w in wanted for own in read_document(image, w)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids"])
 
-    return near.select("image").mapInArrow(run, "doc_id long, ids binary")
+    return near.select("image").mapInArrow(trimmed(run), "doc_id long, ids binary")
 
 
 def token_digest(df: DataFrame, path: str) -> DataFrame:

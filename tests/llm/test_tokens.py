@@ -131,3 +131,12 @@ def test_other_tokenizers_see_whole_texts(texts):
     assert list(token_files.Encoder(path).encode(texts[:300])) == want
     with pytest.raises(ValueError):
         token_counts.Transducer(path)
+
+
+def test_workers_keep_only_what_an_operator_uses():
+    from leafline.llm import common
+
+    common._kept.clear()
+    assert common.kept("a 1", lambda: 5) == 5 and common.kept("a 1", lambda: 6) == 5
+    assert list(common.trimmed(iter, "a")([1, 2])) == [1, 2] and "a 1" in common._kept
+    assert list(common.trimmed(iter)([3])) == [3] and not common._kept
