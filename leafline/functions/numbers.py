@@ -111,7 +111,8 @@ def parse_number(raw: Column, decimal: str = ".") -> Column:
     code = (whole == digits) & ((F.length(digits) > 1) & digits.startswith("0") | (F.length(digits) >= 12) & (fraction == ""))
     text = F.concat(F.when(digits == "", "0").otherwise(digits), F.lit("."), F.when(fraction == "", "0").otherwise(fraction), F.when(percent, "e-2").otherwise(""))
     value = F.when(bracket | minus | debit, -text.cast("double")).otherwise(text.cast("double"))
-    return F.when(ok & bare.rlike(shape) & bare.rlike("[0-9]") & ~code, value)
+    both = percent & s.rlike(rf"(?i){CURRENCY}")  # an amount of money is no percentage
+    return F.when(ok & bare.rlike(shape) & bare.rlike("[0-9]") & ~code & ~both, value)
 
 
 def month_number(name: Column) -> Column:

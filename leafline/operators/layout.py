@@ -176,3 +176,8 @@ def fnv1a(text: Column) -> Column:
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("([0-9A-F]{2})"))
     codes = F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619) % 4294967296)
+
+
+@register("name_hashes", "SELECT n_nationkey, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(n_name) + 1), lambda i: CAST(ascii(n_name[i]) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS hash FROM nation")
+def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select("n_nationkey", fnv1a(F.col("n_name")).alias("hash"))

@@ -1,4 +1,4 @@
-"""Retrieval and extractive summaries: postings, BM25, keywords, facts, sentence scores and answers.
+"""Retrieval and extractive summaries: postings, BM25, keywords, facts, sentence scores and summaries.
 
 Postings are rows, so ranking is an equality join on terms; per-query tops go through Spark's window
 group limit, which cuts rows in every task before they shuffle.
@@ -21,6 +21,8 @@ K1, B = 1.4, 0.75
 TOP, BONUS, HEADING = 4, 1.5, 1.4
 #: Terms of queries, and pairs of query and passage, that are sent to all tasks; more are shuffled.
 FEW_TERMS, FEW_PAIRS = 10_000, 500_000
+#: Characters of a context, and ids of a block that is summed at once.
+BUDGET, BLOCK = 60_000, 1024
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -279,9 +281,14 @@ def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in order until a budget of characters is spent; the one that crosses it stays."""
-    spent = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = load(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
-    return df.withColumn("spent", spent).where("spent < 60000").select("doc_id", "source")
+    # sums of blocks first, so that only the block in which a source's budget ends is summed row by row
+    df = df.withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    blocks = df.groupBy("source", "block").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = blocks.select("source", "block", before.alias("before")).where(F.col("before") < BUDGET)
+    spent = F.coalesce(F.sum("n").over(Window.partitionBy("source", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(open_, ["source", "block"]).withColumn("spent", F.col("before") + spent).where(F.col("spent") < BUDGET).select("doc_id", "source")
 
 
 @register("chat_route", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)summar|overview|about this') THEN 'summary' ELSE 'retrieval' END AS route FROM conversations")

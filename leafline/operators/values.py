@@ -176,3 +176,10 @@ def file_kind(name: Column) -> Column:
     for kind, ends in reversed(FILE_KINDS):
         out = F.when(F.lower(name).rlike(rf"\.(?:{ends})$"), kind).otherwise(out)
     return out
+
+
+@register("roman_numerals", "WITH RECURSIVE r AS (SELECT p_partkey, CAST(p_partkey % 3999 + 1 AS INT) AS n, '' AS s, 1 AS k FROM part UNION ALL SELECT p_partkey, n % v[k], s || repeat(t[k], n // v[k]), k + 1 FROM r, (SELECT [1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1] AS v, ['M', 'CM', 'D', 'CD', 'C', 'XC', 'L', 'XL', 'X', 'IX', 'V', 'IV', 'I'] AS t) WHERE k <= 13) SELECT p_partkey, s AS roman, CAST(p_partkey % 3999 + 1 AS INT) AS value FROM r WHERE k = 14")
+def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in roman numerals, and read back."""
+    df = load(spark, sf_dir, "part").select("p_partkey", N.roman((F.col("p_partkey") % 3999 + 1).cast("int")).alias("roman"))
+    return df.select("p_partkey", "roman", N.roman_value(F.col("roman")).alias("value"))
