@@ -24,10 +24,12 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ HEAD, BLOCK_HEAD = struct.Struct("<4sIQQQ"), struct.Struct("<IHBB")  # block: mi
 NO_ID = -(1 << 63)
 #: Text pieces whose ids a worker keeps, in each of two generations.
 PIECES = 400_000
+#: Characters of texts that are cut at once, pieces that the library sees in one call, and endings of pieces whose ids a worker keeps.
+GROUP, AT_ONCE, ENDINGS = 4_000_000, 256, 10_000
+#: Marks that end pieces, each run of them a pre-token of its own behind a letter or digit; the apostrophe is none, as it may begin a pre-token of letters.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Letters and digits in any edition of Unicode.
+PLAIN = frozenset("0123456789" + "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha()))
 #: White space besides the blank and the line feed.
 OTHER_WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -173,7 +181,8 @@ class Encoder:
     With tokenizers that don't allow cuts (see can_cut) every text goes through the library whole. With others a text is cut before every blank and line feed, if no white space stands before one of these and
     there is no other white space; byte-level pre-tokens and added tokens never reach across such a
     place, so the ids of the pieces are the ids of the text. Each piece goes through the library once,
-    many in one call, and its ids are kept. Texts with other white space go through the library whole.
+    many in one call, and its ids are kept; marks at the end of a piece, behind a letter or digit, are a pre-token
+    too, so with the marks it is put together of the ids of both. Texts with other white space go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -185,22 +194,24 @@ class Encoder:
         self.length = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():
             self.length[i] = len(name)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
+        added = {c for t in self.library.get_added_tokens_decoder().values() for c in t.content}
+        self.marks = "".join(c for c in MARKS if c not in added)
+        self.model = None if any(t.content.isalpha() for t in self.library.get_added_tokens_decoder().values()) else self.library.model
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def cut(self, text: str) -> list[str] | None:
-        """Its pieces, the blank before a piece left out, the line feed not; None if it can't be cut."""
+    def cut(self, text: str) -> bool:
+        """Whether it can be cut."""
         if not self.cuts or not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
-            return None
-        if any(c in text for c in (OTHER_WHITE[:8] if text.isascii() else OTHER_WHITE)):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            return False
+        return not any(c in text for c in (OTHER_WHITE[:8] if text.isascii() else OTHER_WHITE))
 
     def learn(self, pieces: list[str]) -> None:
-        """By one call on all of them. The first pieces of texts get a line feed as well, a pre-token that is taken off in encode."""
+        """By one call on all of them; the blank before a piece is left out, the line feed not. The first pieces of texts get a line feed as well, a pre-token that is taken off in encode."""
         whole = [p if p[0] == "\n" else " " + p for p in pieces]
         ids = np.frombuffer(self.direct(["".join(whole)])[0], "<u4")
         ends = np.cumsum(self.length[ids])
@@ -210,21 +221,69 @@ class Encoder:
             raise AssertionError("a token reaches across a cut")
         self.kept.update((p, ids[a:b].tobytes()) for p, a, b in zip(pieces, [0, *until.tolist()], until.tolist(), strict=False))
 
+    def ending(self, marks: str) -> bytes:
+        if marks not in self.endings:
+            if len(self.endings) >= ENDINGS:
+                self.endings.clear()
+            self.endings[marks] = self.direct([marks])[0]
+        return self.endings[marks]
+
+    def find(self, pieces: set[str]) -> None:
+        """Puts the ids of pieces, none of which is among the kept ones, there."""
+        kept, older, marks = self.kept, self.older, self.marks
+        todo, ended = set(), []
+        for p in pieces:
+            ids = older.get(p)
+            if ids:
+                kept[p] = ids
+                continue
+            bare = p.rstrip(marks)
+            if len(bare) == len(p) or not bare or bare[-1] not in PLAIN:
+                todo.add(p)
+                continue
+            ended.append((p, bare))
+            if bare not in kept:
+                if bare in older:
+                    kept[bare] = older[bare]
+                else:
+                    todo.add(bare)
+        if self.model:  # letters alone are one pre-token, whose bytes have themselves as letters
+            words = [p for p in todo if p.isalpha() and p.isascii()]
+            todo.difference_update(words)
+            for p in words:
+                kept[p] = array("I", [t.id for t in self.model.tokenize("\u0120" + p)]).tobytes()
+        new = list(todo)
+        for k in range(0, len(new), AT_ONCE):
+            self.learn(new[k : k + AT_ONCE])
+        for p, bare in ended:
+            kept[p] = kept[bare] + self.ending(p[len(bare) :])
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        feed = len(self.direct(["\n"])[0]) if self.cuts else 0
-        for at in range(0, len(texts), 256):
-            cut = [self.cut(text) for text in texts[at : at + 256]]
-            if len(self.kept) > PIECES:
-                self.older, self.kept = self.kept, {}
-            new = set().union(*(p for p in cut if p)).difference(self.kept)
-            older = self.older
-            self.kept.update((p, older[p]) for p in new if p in older)
-            todo = [p for p in new if p not in older]
-            for k in range(0, len(todo), 8192):
-                self.learn(todo[k : k + 8192])
-            get = self.kept.__getitem__
-            for text, pieces in zip(texts[at : at + 256], cut, strict=True):
-                yield self.direct([text])[0] if pieces is None else b"".join(map(get, pieces))[feed:]
+        ends = np.cumsum([len(text) for text in texts]) // GROUP
+        for a, b in zip(*(x.tolist() for x in (np.searchsorted(ends, np.unique(ends)), np.searchsorted(ends, np.unique(ends), "right"))), strict=True):
+            yield from self.group(texts[a:b])
+
+    def group(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.kept) > PIECES:
+            self.older, self.kept = self.kept, {"": b""}
+        kept, feed = self.kept, len(self.direct(["\n"])[0]) // 4 if self.cuts else 0
+        cut = [self.cut(text) for text in texts]
+        lines = pa.array(["\n" + text if c else "" for text, c in zip(texts, cut, strict=True)], pa.large_string())
+        pieces = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")  # the first of each text is empty
+        coded = pieces.values.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(kept.get, names))
+        missing = [i for i, ids in enumerate(own) if ids is None]
+        self.find({names[i] for i in missing})
+        for i in missing:
+            own[i] = kept[names[i]]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        each = sizes[codes]
+        ids = np.frombuffer(b"".join(own), "<u4")[places(starts[codes], each)]
+        ends = np.append(0, np.cumsum(each))[pieces.offsets.to_numpy()].tolist()
+        for text, c, start, end in zip(texts, cut, ends[:-1], ends[1:], strict=True):
+            yield ids[start + feed : end].tobytes() if c else self.direct([text])[0]
 
 
 def encoder(path: str) -> Encoder:
